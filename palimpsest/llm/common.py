@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.session import shared_dir
 
@@ -53,6 +54,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
     left = [f for f in df.schema.fields if plain or f.name not in added.fieldNames()]
     schema = T.StructType(left if plain else left + added.fields)
     names, new = [f.name for f in left], added.fieldNames()
+    kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
     df = df.select(*dict.fromkeys([*names, text_col]))
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -68,7 +70,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
                 at = names.index(text_col)
                 columns[at] = pa.array(found[replace], pa.string())
             elif keep is None:
-                columns += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (found[n] for n in new)]
+                columns += [found[n].cast(kinds[n]) if isinstance(found[n], pa.Array) else pa.array(found[n], kinds[n]) for n in new]
             out = pa.RecordBatch.from_arrays(columns, names=names if plain else names + new)
             yield out.filter(pa.array(found[keep])) if keep is not None else out
 
