@@ -1,4 +1,63 @@
-"""The corpus pipeline: each stage works on what the one before it kept."""
+"""The corpus pipeline: each stage works on what the one before it kept, written as Parquet in between.
 
-STAGES: list = []
+Toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark passages go, secrets
+are marked out, and what is left is encoded and decoded. A document whose text the secret scan changes stays.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from palimpsest.llm import bpe, decontamination, secrets, simhash, toxicity
+from palimpsest.llm.common import documents
+from palimpsest.session import shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.learned(spark, sf_dir))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, decontamination.blocks(documents(spark, sf_dir, "benchmark")))
+
+
+def mark_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the text."""
+    found = secrets.redact_secrets(docs, secrets.train())
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(docs.select("doc_id", "text")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("secrets", mark_out_secrets),
+    ("bpe", encode_and_decode),
+]
+
+#: SQL can't express a trained classifier, so the stages are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each stage's rows are written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            path = f"{folder}/{number}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from palimpsest.llm import bpe, decontamination, langid, quality, secrets, sharding, tokencounts, toxicity
+from palimpsest.llm import bpe, decontamination, langid, quality, secrets, sharding, simhash, substrings, tokencounts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
         "op3_secrets": secrets.op3_secrets,
+        "op4_substrings": substrings.op4_substrings,
         "op5_token_counts": tokencounts.op5_token_counts,
         "op6_quality": quality.op6_quality,
+        "op7_simhash": simhash.op7_simhash,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language": langid.op9_language,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
