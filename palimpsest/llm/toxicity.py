@@ -228,18 +228,19 @@ def _calibrate(net: Network, texts: list[bytes], labels: np.ndarray) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """Fits on at most about `rows` labelled texts, drawn by a hash of the text; half of them, if there are so many, are toxic.
+    """Fits on at most about `rows` labelled rows, drawn by a hash of the id; half of them, if there are so many, are toxic.
 
-    docs: doc_id, text. labels: doc_id, toxic; null ids and labels are left out. Without both classes the network
-    keeps its random start and scores mean nothing, so that is an error.
+    docs: doc_id, text. labels: doc_id, toxic; null ids and labels are left out, and a row labelled both ways counts as
+    toxic. The drawn labels are bounded by `rows`, so they are broadcast and no text is shuffled. Without both classes
+    a score would mean nothing, so that is an error.
     """
-    known = docs.join(labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").select("text", "toxic")
-    known = known.where("text is not null")
-    counts = {r["toxic"]: r["n"] for r in labels.where("toxic is not null").groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / 2 / n)))]) if counts else None
-    if limit is None or len(counts) < 2:
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         raise ValueError("labels of both classes are needed")
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("toxic")] * 1_000_000)
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / 2 / n)))])
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
+    drawn = docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
     texts, ys = [], []
     for row in drawn.toLocalIterator():
         texts.append(row["text"].encode())
