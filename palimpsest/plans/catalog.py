@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from palimpsest.plans import reads, registry  # noqa: F401  importing a module registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
