@@ -32,14 +32,15 @@ def contiguous(log: DataFrame, after: int, order: str = "seq") -> DataFrame:
     The gap is found on the distinct numbers alone, summed up by ranges of 65,536, so no task sorts the whole log: a
     range is whole if its count and its least and largest numbers agree, and only the first that is not is sorted.
     """
-    numbers = log.where(F.col(order) > after).select(order).distinct()
-    span = F.floor((F.col(order) - after - 1) / 65536)
-    ranges = numbers.groupBy(span.alias("r")).agg(F.count("*").alias("n"))
-    first_broken = ranges.where("n < 65536").agg(F.min("r").alias("r"))
-    # a range that is missing altogether comes right after the last one before it
-    gap = numbers.withColumn("r", span).join(F.broadcast(first_broken), "r", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy(order)))
-    end = gap.agg(F.max(F.when(F.col(order) - after - F.col("r") * 65536 == F.col("n"), F.col(order))).alias("stop"), F.min("r").alias("r"))
-    stop = end.select(F.coalesce("stop", F.lit(after) + F.col("r") * 65536, F.lit(after)).alias("stop"))
+    numbers = log.where(F.col(order) > after).select(order).distinct().withColumn("r", F.floor((F.col(order) - after - 1) / 65536))
+    ranges = numbers.groupBy("r").agg(F.count("*").alias("n"))
+    before = log.sparkSession.range(1).select(F.lit(-1).cast("long").alias("r"), F.lit(65536).cast("long").alias("n"))
+    counted = ranges.unionAll(before)
+    missing = counted.select((F.col("r") + 1).alias("r")).join(ranges, "r", "left_anti")
+    broken = counted.where("n < 65536").select("r").unionAll(missing.select("r")).agg(F.min("r").alias("r"))
+    inside = numbers.join(F.broadcast(broken), "r", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy(order)))
+    reached = inside.agg(F.max(F.when(F.col(order) - after - F.col("r") * 65536 == F.col("n"), F.col(order))).alias("last"))
+    stop = broken.crossJoin(F.broadcast(reached)).select(F.coalesce("last", F.lit(after) + F.col("r") * 65536).alias("stop"))  # one row each
     return log.where(F.col(order) > after).join(F.broadcast(stop), F.col(order) <= F.col("stop")).drop("stop")
 
 
