@@ -188,7 +188,8 @@ def _anchored(rows: DataFrame, hot: np.ndarray) -> DataFrame:
 def _candidates(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stretches whose anchor occurs more than once, and the distinct ones among them with copies and an owner."""
     every = numbered.select("row", F.posexplode(F.arrays_zip("anchors", "hashes"))).select("row", F.col("pos").alias("place"), F.col("col.anchors").alias("anchor"), F.col("col.hashes").alias("hash"))
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # kept on its own, so that both sides of the join are plain shuffles and Spark can split a hot anchor's rows
+    again = settled(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     found = settled(every.join(again, "anchor"))
     distinct = settled(found.groupBy("anchor", "hash").agg(F.count("*").alias("copies"), F.min(F.struct("row", "place")).alias("owner")))
     return found, distinct
