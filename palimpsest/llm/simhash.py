@@ -264,7 +264,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(distinct)).select(F.col("node").alias("fingerprint"), "root")
     linked = settled(roots.join(distinct, "fingerprint"))
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("named")), "root").select("fingerprint", "named")
-    groups = distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("named", "least").alias("component_id"))
+    # kept on its own, so that both sides of the join are plain shuffles and Spark can split a hot fingerprint's rows
+    groups = settled(distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("named", "least").alias("component_id")))
     return rows.join(groups, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
