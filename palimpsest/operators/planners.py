@@ -84,3 +84,38 @@ def upload_plan(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 def live_drives(drives: DataFrame) -> DataFrame:
     return drives.where("not deleted").orderBy("drive")
+
+
+def edit_target(asked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """key, outcome of an in-place edit: write on a file, create where nothing is, refused on a folder."""
+    return asked.join(keyed.select("key", "kind"), "key", "left").select("key", F.when(F.col("kind").isNull(), F.when(F.col("key").endswith("/"), "refused").otherwise("create")).when(F.col("kind") == "folder", "refused").otherwise("write").alias("outcome"))
+
+
+def delete_many(asked: DataFrame, limit: int = BATCH_DELETES) -> DataFrame:
+    """Whether each request (request, ord, key) is within the limit; its keys are deleted in order."""
+    sizes = asked.groupBy("request").agg(F.count("*").alias("n"))
+    return asked.join(sizes, "request").select("request", "ord", "key", (F.col("n") <= limit).alias("accepted"))
+
+
+def commit_upload(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """upload, verdict of a direct upload (upload, hash, n): ok if all its shards are stored with the sizes it says."""
+    rows = asked.join(stored.select("hash", "size"), "hash", "left")
+    bad = F.sum(F.when(F.col("size").isNull(), 1).otherwise(0))
+    wrong = F.sum(F.when(F.col("size") != F.col("n"), 1).otherwise(0))
+    return rows.groupBy("upload").agg(F.when(bad > 0, "missing").when(wrong > 0, "length").otherwise("ok").alias("verdict"))
+
+
+def drive_lifecycle(events: DataFrame) -> DataFrame:
+    """drive, state from its events (drive, seq, op: create, soft_delete, undelete, hard_delete): gone for good after a hard delete, else by the last."""
+    last = F.max_by("op", "seq")
+    return events.groupBy("drive").agg(F.when(F.max(F.when(F.col("op") == "hard_delete", 1)) == 1, "gone").when(last == "soft_delete", "deleted").otherwise("live").alias("state"))
+
+
+def alias_clashes(drives: DataFrame) -> DataFrame:
+    """Aliases that more than one live drive has. drives: alias, state."""
+    return drives.where("state = 'live'").groupBy("alias").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def enable_feature(pools: DataFrame, feature: str) -> DataFrame:
+    """The pool's features with one more, sorted, each once."""
+    return pools.withColumn("features", F.array_sort(F.array_union("features", F.array(F.lit(feature)))))

@@ -104,3 +104,9 @@ def violations(log: DataFrame) -> DataFrame:
     first = log.agg(F.min("seq").alias("first"))
     rows = log.join(before, "seq", "left").join(F.broadcast(first))
     return rows.where((F.col("earlier").isNull() & (F.col("seq") > F.col("first"))) | (F.col("time") < F.col("earlier"))).select("seq", F.when(F.col("earlier").isNull(), "gap").otherwise("time").alias("fault"))
+
+
+def with_spilled(objects: DataFrame, spilled: DataFrame) -> DataFrame:
+    """Objects with spilled content swapped in where the content is still what was spilled. spilled: oid, was, content."""
+    rows = objects.join(spilled.withColumnsRenamed({"content": "__content", "was": "__was"}), "oid", "left")
+    return rows.withColumn("content", F.when(F.col("content") == F.col("__was"), F.col("__content")).otherwise(F.col("content"))).drop("__content", "__was")

@@ -91,3 +91,15 @@ def parse_sse(lines: DataFrame) -> DataFrame:
     rows = rows.select("stream", "event", "n", field.alias("field"), value.alias("value"))
     data = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == "data", F.struct("n", "value")))), lambda x: x["value"]), "\n")
     return rows.groupBy("stream", "event").agg(F.max_by(F.when(F.col("field") == "id", F.col("value")), F.when(F.col("field") == "id", F.col("n"))).alias("id"), data.alias("data"))
+
+
+def format_sse(changes: DataFrame) -> DataFrame:
+    """seq, event: a server-sent event for each batch, its changes (seq, place, op, key) as JSON lines."""
+    line = F.concat(F.lit("data: "), F.to_json(F.struct("op", "key")))
+    rows = changes.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("xs"))
+    return rows.select("seq", F.concat(F.lit("id: "), F.col("seq").cast("string"), F.lit("\n"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n"), F.lit("\n\n")).alias("event"))
+
+
+def not_delivered(feed: DataFrame, last: int) -> DataFrame:
+    """What a client that resumes after `last` still has to deliver, repeats dropped by number."""
+    return feed.where(F.col("seq") > last).dropDuplicates(["seq"])
