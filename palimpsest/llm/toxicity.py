@@ -84,8 +84,13 @@ class Network:
         return [[self.embedding @ w for w in width] for width in self.filters]
 
     def pooled(self, rows: np.ndarray, begins: np.ndarray, tables: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The largest response of each filter in each text, and the responses."""
+        """The largest response of each filter in each text, and the responses.
+
+        A text's places are those of its words and one gap; from a later gap a filter would reach into the next text.
+        """
         found, responses = [], []
+        stops = np.append(begins[1:], rows.shape[1]) - max(WIDTHS) + 1
+        bounds = np.stack([begins, stops], axis=1).ravel()[:-1]  # the last text ends where the responses do
         for width in tables:
             reach = rows.shape[1] - max(WIDTHS) + 1
             response = np.zeros((reach, FILTERS), np.float32)
@@ -93,7 +98,7 @@ class Network:
                 for kind in rows:
                     response += table[kind[step : step + reach]]
             responses.append(response)
-            found.append(np.maximum.reduceat(response, begins, axis=0))
+            found.append(np.maximum.reduceat(response, bounds, axis=0)[::2])
         return np.concatenate(found, axis=1), responses
 
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +113,8 @@ class Network:
             votes.append(np.bincount(owner[known[at] == hashes[0]], minlength=len(n)))
         votes = np.array(votes)
         group = np.where(votes.max(axis=0) > 0, votes.argmax(axis=0) + 1, 0)
-        return np.maximum(top + self.bias, 0) @ self.weights + self.offset, group
+        hidden = np.maximum(top + self.bias, 0).astype(np.float64)
+        return (hidden * self.weights).sum(axis=1) + self.offset, group  # summed row by row, so a score never depends on the batch
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         logit, group = self.logits(texts)
@@ -165,8 +171,10 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
 def _step(net: Network, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray, share: float, rate: float, squares: dict) -> None:
     ids, local = np.unique(rows, return_inverse=True)
     top, responses = net.pooled(local.reshape(rows.shape), begins, [[net.embedding[ids] @ w for w in width] for width in net.filters])
-    lengths = np.diff(np.append(begins, rows.shape[1] - max(WIDTHS) + 1))
+    lengths = np.diff(np.append(begins, rows.shape[1]))
     owner = np.repeat(np.arange(len(begins)), lengths)
+    inside = np.arange(len(owner)) < np.repeat(begins + lengths - max(WIDTHS) + 1, lengths)
+    owner, inside = owner[: responses[0].shape[0]], inside[: responses[0].shape[0]]
     z = top + net.bias
     hidden = np.maximum(z, 0)
     p = 1 / (1 + np.exp(-np.clip(hidden @ net.weights + net.offset, -30, 30)))
@@ -183,7 +191,7 @@ def _step(net: Network, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray
         gradient = np.zeros_like(width)
         for f in range(FILTERS):
             column = i * FILTERS + f
-            hit = np.flatnonzero(response[:, f] == top[owner, column])
+            hit = np.flatnonzero((response[:, f] == top[owner, column]) & inside)
             _, first = np.unique(owner[hit], return_index=True)
             place, g = hit[first], back[:, column]
             for step in range(width.shape[0]):

@@ -399,6 +399,8 @@ def test_toxicity_learns_words_and_scores_all_texts(spark):
     right = sum(found[i]["predicted"] == labels[400 + i][1] for i in range(200))
     assert right >= 194
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found.values())
+    texts = [(t or "").encode() for t in [t for _, t in docs[400:]] + EDGE]
+    assert net.score(texts).tolist() == [float(net.score([t])[0]) for t in texts] == [found[i]["score"] for i in range(len(texts))]
     kept = toxicity.drop_toxic(clashing(spark, [t for _, t in docs[400:]]), net)
     assert kept.columns == clashing(spark, []).columns and kept.count() == sum(found[i]["predicted"] == 0 for i in range(200))
     with pytest.raises(ValueError):
