@@ -29,8 +29,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mark_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text."""
+    """n_chars, where there is such a column, follows the text."""
     found = secrets.redact_secrets(docs, secrets.train())
+    if "n_chars" not in found.columns:
+        return found
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

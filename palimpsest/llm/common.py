@@ -21,9 +21,9 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """A string column as UTF-8; null counts as empty."""
-    column = batch.column(batch.schema.names.index(name))
+def column_bytes(batch: pa.RecordBatch, name: str | int) -> list[bytes]:
+    """A string column, by name or place, as UTF-8; null counts as empty."""
+    column = batch.column(name if isinstance(name, int) else batch.schema.names.index(name))
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
@@ -46,16 +46,19 @@ def schema_of(ddl: str) -> T.StructType:
 def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Callable[[list[bytes]], dict]], keep: str | None = None, replace: str | None = None) -> DataFrame:
     """Adds `fields`, which `kernel()` computes from the texts of each batch.
 
-    A column of the same name is replaced, as withColumn does. With `keep`, only the rows where that boolean field
+    A column of the same name, in upper or lower case, is replaced, as withColumn does. With `keep`, only the rows where that boolean field
     is true stay and no field is added; with `replace`, that field takes the place of the text and no other is added.
     """
     added = schema_of(fields)
     plain = keep is not None or replace is not None
-    left = [f for f in df.schema.fields if plain or f.name not in added.fieldNames()]
+    taken = {n.lower() for n in added.fieldNames()}
+    left = [f for f in df.schema.fields if plain or f.name.lower() not in taken]
     schema = T.StructType(left if plain else left + added.fields)
     names, new = [f.name for f in left], added.fieldNames()
     kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
-    df = df.select(*dict.fromkeys([*names, text_col]))
+    read = list(dict.fromkeys([*names, text_col]))
+    at = read.index(text_col)
+    df = df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in read]).toDF(*[f"c{i}" for i in range(len(read))])  # any name is safe inside
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -64,10 +67,9 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = compute(column_bytes(batch, text_col))
-            columns = [batch.column(batch.schema.names.index(n)) for n in names]
+            found = compute(column_bytes(batch, at))
+            columns = batch.columns[: len(names)]
             if replace is not None:
-                at = names.index(text_col)
                 columns[at] = pa.array(found[replace], pa.string())
             elif keep is None:
                 columns += [found[n].cast(kinds[n]) if isinstance(found[n], pa.Array) else pa.array(found[n], kinds[n]) for n in new]

@@ -4,7 +4,7 @@ Each slot of the filter is a mask with a bit for each language. An n-gram's mask
 that contain it, with some false positives. A text's popcount for a language is the number of its n-grams whose mask
 has that bit; the expected false positives, from the filled share of that language's slice, are taken off, and the
 largest corrected count decides. Its share of all corrected counts is the score; ties go to the language with more
-training rows, then to the smaller name.
+training rows, then to the smaller name. A filter that learned no language answers `und`, score 0.
 
 n-grams are three bytes of the lower-cased UTF-8 text around a letter byte; everything but letters is one separator.
 An n-gram belongs to a language if it is not much rarer there than where it is most frequent, which keeps foreign
@@ -78,6 +78,8 @@ class LanguageFilter:
         return masks
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         grams, n = _grams(texts)
         masks = self.lookup(grams)
         begins = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
@@ -99,7 +101,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     df = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no training rows")
+        return LanguageFilter({}, {})
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
     drawn = df.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     texts: dict[str, list[str]] = {lang: [] for lang in counts}

@@ -7,7 +7,7 @@ the words, the largest response of each filter over the whole text is kept, and
 calibrated for each language group, which is told from the text's own function words: a group's threshold on held-back
 training rows is moved to 0.7, so one cut serves all.
 
-Labels, languages and ids never enter a score. Null and empty texts score as a text of no words does. Texts are read
+Labels, languages and ids never enter a score. Without labels of both classes nothing can be learned, and every score is 0. Null and empty texts score as a text of no words does. Texts are read
 whole. Equal texts get equal scores.
 """
 
@@ -235,17 +235,17 @@ def _calibrate(net: Network, texts: list[bytes], labels: np.ndarray) -> None:
         net.cuts[name] = (n * cut(logit[own], labels[own]) + 20 * base) / (n + 20) if n else base
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
     """Fits on at most about `rows` labelled rows, drawn by a hash of the id; half of them, if there are so many, are toxic.
 
     docs: doc_id, text. labels: doc_id, toxic; null ids and labels are left out, and a row labelled both ways counts as
-    toxic. The drawn labels are bounded by `rows`, so they are broadcast and no text is shuffled. Without both classes
-    a score would mean nothing, so that is an error.
+    toxic. The drawn labels are bounded by `rows`, so they are broadcast and no text is shuffled. None without both
+    classes.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        raise ValueError("labels of both classes are needed")
+        return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / 2 / n)))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
     drawn = docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
@@ -253,26 +253,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     for row in drawn.toLocalIterator():
         texts.append(row["text"].encode())
         ys.append(row["toxic"])
-    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), texts[i]))
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), texts[i], ys[i]))
+    if len(set(ys)) < 2:
+        return None
     return fit([texts[i] for i in order], np.array([ys[i] for i in order]))
 
 
-def score(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """Adds score and predicted."""
     return annotate(df, text_col, "score double, predicted int", _kernel(df.sparkSession, net))
 
 
-def drop_toxic(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+def drop_toxic(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with the columns they had."""
     return annotate(df, text_col, "clean boolean", _kernel(df.sparkSession, net), keep="clean")
 
 
-def _kernel(spark: SparkSession, net: Network):
+def _kernel(spark: SparkSession, net: Network | None):
     shared = spark.sparkContext.broadcast(net)  # 2 to the SLOT_BITS rows of DIMENSION numbers
 
     def kernel():
         def run(texts: list[bytes]) -> dict:
-            found = np.concatenate([shared.value.score(texts[a:b]) for a, b in slices(texts, 1_000_000)])
+            net = shared.value
+            found = np.zeros(len(texts)) if net is None else np.concatenate([net.score(texts[a:b]) for a, b in slices(texts, 1_000_000)])
             return {"score": found.astype(float), "predicted": (found >= CUT).astype(np.int32), "clean": found < CUT}
 
         return run
@@ -280,7 +283,7 @@ def _kernel(spark: SparkSession, net: Network):
     return kernel
 
 
-def learned(spark: SparkSession, sf_dir: str) -> Network:
+def learned(spark: SparkSession, sf_dir: str) -> Network | None:
     """A network from the labels whose rows are not held out."""
     kept = "crc32(cast(doc_id as string)) % 3 != 1"
     return train(documents(spark, sf_dir).select("doc_id", "text").where(kept), documents(spark, sf_dir, "labels").select("doc_id", "toxic").where(kept))

@@ -403,22 +403,28 @@ def test_toxicity_learns_words_and_scores_all_texts(spark):
     assert net.score(texts).tolist() == [float(net.score([t])[0]) for t in texts] == [found[i]["score"] for i in range(len(texts))]
     kept = toxicity.drop_toxic(clashing(spark, [t for _, t in docs[400:]]), net)
     assert kept.columns == clashing(spark, []).columns and kept.count() == sum(found[i]["predicted"] == 0 for i in range(200))
-    with pytest.raises(ValueError):
-        toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), label_rows.where("toxic = 1"))
+    unlearned = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), label_rows.where("toxic = 1"))
+    assert {(r["score"], r["predicted"]) for r in toxicity.score(table(spark, EDGE), unlearned).collect()} == {(0.0, 0)}
 
 
 # tables without rows, and rows that repeat
 
 
+def test_columns_of_odd_names(spark):
+    odd = spark.createDataFrame([(1, "a b", 2, 3)], "doc_id long, text string, `N_Tokens` int, `a.b` int")
+    out = tokencounts.count_tokens(odd)
+    assert out.columns == ["doc_id", "text", "a.b", "n_pretokens", "n_tokens"] and tuple(out.first())[2:] == (3, 2, 2)
+
+
 def test_empty_tables(spark):
-    empty, net = table(spark, []), None
-    model = langid.LanguageFilter({"a": ["abc abc abc"]}, {"a": 1})
+    empty = table(spark, [])
+    model = langid.train(spark.createDataFrame([], "text string, lang string"))
+    assert {r["lang_pred"] for r in langid.identify(table(spark, EDGE), model).collect()} == {"und"}
     for out in (
         bpe.round_trip(empty), tokencounts.count_tokens(empty), quality.apply_rules(empty), simhash.near_duplicates(empty), simhash.keep_one(empty), substrings.remove_repeats(empty), langid.identify(empty, model),
-        secrets.scan_secrets(empty, secrets.train()), decontamination.judge(empty, decontamination.blocks(spark.createDataFrame([], "item_id long, text string"))), sharding.number(sharding.assign(empty.select("doc_id")), ["doc_id"]),
+        toxicity.score(empty, toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))), secrets.scan_secrets(empty, secrets.train()), decontamination.judge(empty, decontamination.blocks(spark.createDataFrame([], "item_id long, text string"))), sharding.number(sharding.assign(empty.select("doc_id")), ["doc_id"]),
     ):
         assert out.count() == 0
-    assert net is None
 
 
 def test_repeated_rows_and_null_ids(spark):
