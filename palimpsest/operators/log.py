@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.operators.order import number_all, pass_over
+
 BATCH_TXNS, BATCH_BYTES = 256, 1 << 20
 CHECKPOINT_COMMITS, CHECKPOINT_BYTES = 1000, 16 << 20
 SEGMENT_MIN, SEGMENT_MAX, CUT_BITS, FALLBACK_BITS = 256, 8192, 12, 10
@@ -26,17 +28,22 @@ def group_by_bytes(txns: DataFrame, key: str, size: str, limit: int = BATCH_BYTE
     """
     schema = txns.select(key, "seq", "idx", F.lit(0).cast("long").alias("commit")).schema
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seq", "idx"])
-        commit, held, n, out = 1, 0, 0, []
-        for nbytes in rows[size]:
-            if n and (held + nbytes > limit or n == most):
-                commit, held, n = commit + 1, 0, 0
-            held, n = held + nbytes, n + 1
-            out.append(commit)
-        return rows[[key, "seq", "idx"]].assign(commit=out)
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        commit, held, n = 1, 0, 0
+
+        def cut(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal commit, held, n
+            out = []
+            for nbytes in rows[size]:
+                if n and (held + nbytes > limit or n == most):
+                    commit, held, n = commit + 1, 0, 0
+                held, n = held + nbytes, n + 1
+                out.append(commit)
+            return rows[[key, "seq", "idx"]].assign(commit=out)
+
+        return cut
 
-    return txns.groupBy(key).applyInPandas(cut, schema)
+    return pass_over(txns.select(key, "seq", "idx", size), key, ["seq", "idx"], schema, start)
 
 
 def low_zeros(text: Column) -> Column:
@@ -50,9 +57,11 @@ def segments(rows: DataFrame, table: str, key: str) -> DataFrame:
 
     A segment ends after a row with CUT_BITS low zeros once it is long enough; at its longest it ends after its last
     row with FALLBACK_BITS. Each cut depends on the one before, so a table is one ordered pass over its rows with zeros
-    enough; the rows themselves are then numbered by a join on ranges of their place.
+    enough, one in 1,024; all rows are numbered by ranges and then find their segment by their place.
     """
-    ordered = rows.select(table, key, F.row_number().over(Window.partitionBy(table).orderBy(key)).alias("place"), low_zeros(F.col(key)).alias("zeros"))
+    numbered = number_all(rows.select(table, key), [table, key])
+    begins = numbered.groupBy(table).agg((F.min("place") - 1).alias("__begin"))
+    ordered = numbered.join(begins, table).select(table, key, (F.col("place") - F.col("__begin")).alias("place"), low_zeros(F.col(key)).alias("zeros"))
     marks = ordered.where(F.col("zeros") >= FALLBACK_BITS).select(table, "place", "zeros").unionByName(ordered.groupBy(table).agg(F.max("place").alias("place")).withColumn("zeros", F.lit(-1)))
 
     def ends(found: pd.DataFrame) -> pd.DataFrame:
@@ -79,17 +88,22 @@ def leaves(extents: DataFrame, oid: str = "oid") -> DataFrame:
     rows = extents.select(oid, "pos", F.coalesce(F.conv(F.substring("s", -4, 4), 16, 10).cast("int"), F.lit(1)).alias("tail"))
     schema = rows.select(oid, "pos", F.lit(0).cast("int").alias("leaf")).schema
 
-    def cut(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("pos")
-        leaf, n, out = 0, 0, []
-        for tail in found["tail"]:
-            out.append(leaf)
-            n += 1
-            if n >= LEAF_MAX or (tail % (1 << LEAF_BITS) == 0 and n >= LEAF_MIN):
-                leaf, n = leaf + 1, 0
-        return found[[oid, "pos"]].assign(leaf=pd.Series(out, index=found.index, dtype="int32"))
-
-    return rows.groupBy(oid).applyInPandas(cut, schema)
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        leaf, n = 0, 0
+
+        def cut(found: pd.DataFrame) -> pd.DataFrame:
+            nonlocal leaf, n
+            out = []
+            for tail in found["tail"]:
+                out.append(leaf)
+                n += 1
+                if n >= LEAF_MAX or (tail % (1 << LEAF_BITS) == 0 and n >= LEAF_MIN):
+                    leaf, n = leaf + 1, 0
+            return found[[oid, "pos"]].assign(leaf=pd.Series(out, index=found.index, dtype="int32"))
+
+        return cut
+
+    return pass_over(rows, oid, ["pos"], schema, start)
 
 
 def cadence(commits: DataFrame, key: str, every: int = CHECKPOINT_COMMITS, nbytes: int = CHECKPOINT_BYTES) -> DataFrame:

@@ -74,10 +74,10 @@ def prefixes(key: str = "key") -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "/"), F.lit("/")))
 
 
-def ancestor_keys(keyed: DataFrame, key: str = "key") -> DataFrame:
-    """key, folder: every folder above each key."""
+def ancestor_keys(keyed: DataFrame, key: str = "key", *carried: str) -> DataFrame:
+    """key, folder and what is carried along: every folder above each key."""
     deep = keyed.where(F.instr(F.regexp_replace(F.col(key), "/$", ""), "/") > 0)
-    return deep.select(key, F.explode(prefixes(key)).alias("folder"))
+    return deep.select(key, *carried, F.explode(prefixes(key)).alias("folder"))
 
 
 def missing_parents(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def missing_parents(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
 def worst_below(keyed: DataFrame, states: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """folder and the worst state of anything in it. states: oid, sync. ranks: a larger rank is worse."""
     rank = F.create_map(*[x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))])
-    return ancestor_keys(keyed.join(states, "oid").select("key", "sync")).join(keyed.join(states, "oid").select("key", "sync"), "key").groupBy("folder").agg(F.max_by("sync", rank[F.col("sync")]).alias("worst"))
+    return ancestor_keys(keyed.join(states, "oid"), "key", "sync").groupBy("folder").agg(F.max_by("sync", rank[F.col("sync")]).alias("worst"))
 
 
 def orphans(entries: DataFrame, root: str = "root") -> DataFrame:

@@ -52,7 +52,7 @@ def affected(keyed: DataFrame, stale: DataFrame) -> DataFrame:
     from palimpsest.operators.tree import ancestor_keys
 
     at = keyed.join(stale.where("what = 'object'").select("key"), "key", "left_semi").select("oid")
-    under = ancestor_keys(keyed).withColumnRenamed("folder", "prefix").join(stale.where("what = 'subtree'").select(F.col("key").alias("prefix")), "prefix", "left_semi").join(keyed.select("key", "oid"), "key").select("oid")
+    under = ancestor_keys(keyed, "key", "oid").join(stale.where("what = 'subtree'").select(F.col("key").alias("folder")), "folder", "left_semi").select("oid")
     return at.unionByName(under).distinct()
 
 
