@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from palimpsest.session import send_package
+
 LEAST, NORMAL, MOST = 256 << 10, 2 << 20, 16 << 20
 _GEAR = [int.from_bytes(hashlib.sha256(b"gear" + bytes([b])).digest()[:8], "big") for b in range(256)]
 _ALL = (1 << 64) - 1
@@ -64,6 +66,7 @@ def stream_chunks(pieces: Iterable[bytes], least: int = LEAST, normal: int = NOR
 def shards(df: DataFrame, id_col: str, data_col: str, least: int = LEAST, normal: int = NORMAL, most: int = MOST) -> DataFrame:
     """id, pos, n and hash of each chunk of binary content."""
     check_sizes(least, normal, most)
+    send_package(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.BinaryType()))
     def cut(data: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.operators.order import number_all, pass_over
+from palimpsest.session import send_package
 
 BATCH_TXNS, BATCH_BYTES = 256, 1 << 20
 CHECKPOINT_COMMITS, CHECKPOINT_BYTES = 1000, 16 << 20
@@ -79,6 +80,7 @@ def segments(rows: DataFrame, table: str, key: str) -> DataFrame:
         return pd.DataFrame({table: found[table].iloc[0], "low": [a for a, _ in out], "high": [b for _, b in out], "segment": range(len(out))})
 
     schema = rows.select(table, F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("segment")).schema
+    send_package(rows.sparkSession)
     cuts = marks.groupBy(table).applyInPandas(ends, schema)
     return ordered.join(cuts, table).where((F.col("place") > F.col("low")) & (F.col("place") <= F.col("high"))).select(table, key, "segment")
 

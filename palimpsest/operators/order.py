@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from palimpsest.session import shared_dir
+from palimpsest.session import send_package, shared_dir
 
 
 def number_all(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
@@ -43,4 +43,5 @@ def pass_over(rows: DataFrame, key: str, order: list[str], schema: StructType, s
                         at, step = piece[key].iloc[0], start()
                     yield step(piece)
 
+    send_package(rows.sparkSession)
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,29 @@ def session(app: str = "palimpsest", cpus: str = "*", **conf: str) -> SparkSessi
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    send_package(spark)
     return spark
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once for each application, so that their Python workers find them.
+
+    A package that is itself read from an archive was sent by whoever started the application.
+    """
+    context, folder = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _SENT or not folder.is_dir():
+        return
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="palimpsest-"))) / "palimpsest.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(folder.rglob("*.py")):
+            out.write(file, file.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    _SENT.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
@@ -43,4 +65,5 @@ def shared_dir(spark: SparkSession) -> str:
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named tables of one data directory."""
+    send_package(spark)
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]

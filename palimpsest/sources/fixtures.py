@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.session import send_package
+
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark".split()
 
 #: What the dialects spell differently, Spark first.
@@ -70,6 +72,7 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._views = spark, sf_dir, {}
+        send_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
