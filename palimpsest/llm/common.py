@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.session import shared_dir
+from palimpsest.session import send_package, shared_dir
 
 #: Rows in an Arrow batch; a batch of the longest texts stays near 100 MB.
 BATCH_ROWS = 1000
@@ -18,6 +18,7 @@ SLICE_BYTES = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -60,6 +61,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
     at = read.index(text_col)
     df = df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in read]).toDF(*[f"c{i}" for i in range(len(read))])  # any name is safe inside
     spark = df.sparkSession
+    send_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +84,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
 def settled(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
+    send_package(df.sparkSession)
     out = df.checkpoint(eager=True)
     gc.collect()
     return out
@@ -89,4 +92,5 @@ def settled(df: DataFrame) -> DataFrame:
 
 def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator's query needs, so that no other column can clash with its results."""
+    send_package(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
