@@ -20,6 +20,8 @@ from palimpsest.llm.common import annotate, documents, slices
 
 #: Training rows of each language at most, taken by a hash of their id; rows beyond it are not needed for n-gram rates.
 TRAIN_ROWS = 1000
+#: Parts that the drawn rows are gathered in; the driver fetches one at a time.
+DRAWN_PARTS = 8
 #: Slots are 2 to the SLOT_BITS; each n-gram sets one slot for each multiplier. A mask has room for 64 languages.
 SLOT_BITS, MULTIPLIERS = 18, (2654435761, 2246822519, 3266489917)
 #: Least occurrences in training, and least part of the rate in the language where the n-gram is most frequent.
@@ -105,7 +107,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
     drawn = df.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for row in drawn.toLocalIterator():
+    for row in drawn.repartition(DRAWN_PARTS).toLocalIterator():  # few jobs, however many parts the table has
         texts[row["lang"]].append(row["text"])
     return LanguageFilter({k: v for k, v in texts.items() if v}, counts)
 

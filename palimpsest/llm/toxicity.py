@@ -24,6 +24,8 @@ from palimpsest.llm.common import annotate, documents, slices
 
 #: Labelled rows to train on at most, drawn by a hash of the text.
 TRAIN_ROWS = 6000
+#: Parts that the drawn rows are gathered in; the driver fetches one at a time.
+DRAWN_PARTS = 8
 WIDTHS, FILTERS, DIMENSION = (1, 2, 3), 8, 8
 #: 2 to the SLOT_BITS rows; the least number of training texts a hash of its own row occurs in.
 SLOT_BITS, LEAST_TEXTS = 16, 3
@@ -250,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
     drawn = docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
     texts, ys = [], []
-    for row in drawn.toLocalIterator():
+    for row in drawn.repartition(DRAWN_PARTS).toLocalIterator():  # few jobs, however many parts the table has
         texts.append(row["text"].encode())
         ys.append(row["toxic"])
     order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), texts[i], ys[i]))
