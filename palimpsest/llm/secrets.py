@@ -1,12 +1,14 @@
 """Secret scans: a pattern finds candidates, and a random forest takes false positives out.
 
-A candidate is a run of at least LEAST_LENGTH key characters that has a digit or an inner capital. The forest reads its
-length, the transitions between character classes, how much of it a dictionary covers, whether it is a path, and the
-words beside it. It is trained in numpy on labelled findings, rows of (text before, candidate, text after, secret);
-where there are none, findings() makes some by rule, from a seed.
-
-Null texts stay null and have no candidates, empty texts neither. Texts are scanned whole, overlapping nothing; equal
-rows give equal results. A text without secrets is left as it is.
+A candidate is a run of at least LEAST_LENGTH key characters, or a value of any length and any characters that is quoted
+or assigned beside a secret word (password = "...", pwd=..., the token for x is ..., --secret ..., <key>...</key>). The
+forest reads its length, the transitions between character classes, how much of it a dictionary covers, whether it is a
+path, and the words beside it. It is trained in numpy on labelled findings, rows of (text before, candidate, text after,
+secret); where there are none, findings() makes some by rule, from a seed.
+
+Null texts stay null and have no candidates, empty texts neither. Texts are scanned whole; candidates can lie in one
+another, what is found a secret is united to spans that don't overlap. Equal rows give equal results. A text without
+secrets is left as it is.
 """
 
 from __future__ import annotations
@@ -47,13 +49,39 @@ PLACEHOLDERS = ("example", "your", "xxxx", "changeme", "dummy", "placeholder", "
 
 _KEY = rb"A-Za-z0-9+/=_.\-"
 find_candidates = re.compile(rb"(?<![%s])[%s]{%d,}" % (_KEY, _KEY, LEAST_LENGTH)).finditer
-_likely = re.compile(rb"[0-9]|[a-z][A-Z]").search
+_NAMES = sorted({part for word in SECRET_WORDS for part in word.split("_")}, key=len, reverse=True)
+#: A secret word in lower case, with a capital, or in capitals; what may stand on its left is looked at after.
+find_names = re.compile("|".join(["(?:%s)s?(?![a-z])" % "|".join(_NAMES), "(?:%s)s?(?![a-z])" % "|".join(w.title() for w in _NAMES), "(?:%s)S?(?![A-Z])" % "|".join(w.upper() for w in _NAMES)]).encode()).finditer
+#: Secret words that need no boundary on their left, as in dbpassword.
+_PLAINLY = (b"password", b"passwd", b"passphrase", b"secret", b"token", b"credential", b"apikey")
+#: From a secret word to a value: the rest of a name and its quote, up to two words, and then an assignment, or only spaces before a quote.
+_ASSIGNS = rb"""[A-Za-z0-9_.\-]{0,40}["'`\])]{0,2}(?:[ \t]+[A-Za-z]+){0,2}?(?:\s{0,8}(?:=>|->|:=|==?|:)\s{0,8}|[ \t]+(?:is|was)[ \t]+|>)"""
+_SPACES = rb"""[A-Za-z0-9_.\-]{0,40}["'`\])]{0,2}(?:[ \t]+[A-Za-z]+){0,2}?[ \t]+"""
+_QUOTED = rb"""(?:"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`)"""
+#: A bare value ends before a space, a closing tag or quote, and before what separates it from the next assignment.
+_BARE = rb"""["'`]{0,3}((?:(?!</|["'`](?!\w)|[;,&]\s{0,8}["']?[\w.\-]{1,40}["']?[ \t]{0,8}[=:])\S)+)"""
+match_values = [re.compile(lead + value).match for lead, value in ((_ASSIGNS, _QUOTED), (_SPACES, _QUOTED), (_ASSIGNS, _BARE))]
+_after_flag = re.compile(rb"[A-Za-z0-9_\-]{0,40}[ \t]+" + _BARE).match
+_leads = re.compile(rb"(?:%s|%s)[\"'`]{0,3}" % (_ASSIGNS, _SPACES)).fullmatch
+_CLOSERS = {b")": b"(", b"]": b"[", b"}": b"{"}
 _known = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
-FEATURES = ("length", "digits", "capitals", "transitions", "distinct", "entropy", "hexadecimal", "covered", "segments", "dots", "dashes", "secret_before", "plain_before", "assigned", "quoted", "placeholder", "secret_after", "vowels")
+FEATURES = ("length", "digits", "capitals", "transitions", "distinct", "entropy", "hexadecimal", "covered", "segments", "dots", "dashes", "secret_before", "plain_before", "assigned", "quoted", "placeholder", "secret_after", "vowels", "announced", "symbols", "spaces", "code", "prose")
+_code = re.compile(r"^\$?[{(\[].*[})\]]$|^\$\w+$|^<.*>$|\(.*\)$|\w[\[(]|^\*+$|^(?:true|false|none|null|nil|undefined|string|str|int|bytes|bool)$").search
+_prose = re.compile(r"\b(?:the|an?|is|are|was|to|and|of|in|on|for|you|your|it|that|this|with|be|not|he|she|they|we|i)\b").findall
+
+
+def _named(text: bytes, start: int, end: int) -> bool:
+    """Whether the secret word found is one by what stands on its left."""
+    before = text[start - 1 : start]
+    return not before.isalpha() or (before.islower() and text[start : start + 1].isupper()) or text[start:end].lower().startswith(_PLAINLY)
+
+
+def _announced(before: bytes) -> bool:
+    return any(_named(before, *m.span()) and _leads(before, m.end()) for m in find_names(before))
 
 
 def features(before: bytes, found: bytes, after: bytes) -> list[float]:
-    word = found.decode("ascii")
+    word = found.decode("utf-8", "replace")
     low, n = word.lower(), len(word)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in word]
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(word).values())
@@ -68,20 +96,119 @@ def features(before: bytes, found: bytes, after: bytes) -> list[float]:
         float(bool(SECRET_WORDS.intersection(near))), float(bool(PLAIN_WORDS.intersection(near))),
         float(bool(re.search(r"[=:]\s*[\"'`]?$", lead))), float(lead[-1:] in ("'", '"', "`") and lead != ""), float(any(p in low for p in PLACEHOLDERS)),
         float(bool(SECRET_WORDS.intersection(follow))), sum(c in "aeiou" for c in low) / max(1, letters),
+        float(_announced(before)), kinds.count("s") / n, word.count(" "), float(bool(_code(low))), len(_prose(low)),
     ]
 
 
+def announced_values(text: bytes) -> list[tuple[int, int]]:
+    """Where values that are quoted or assigned beside a secret word begin and end; each can lie in one before it."""
+    out = []
+    for name in find_names(text):
+        if not _named(text, *name.span()):
+            continue
+        m = next(filter(None, (match(text, name.end()) for match in match_values)), None)
+        if m is None and (name[0].lower() == b"bearer" or re.search(rb"(?:^|\s)--?[\w\-]{0,40}$", text[max(0, name.start() - 48) : name.start()])):
+            m = _after_flag(text, name.end())
+        if m is None:
+            continue
+        start, end = m.span(m.lastindex)
+        if m.re.groups == 1:  # a bare value: the sentence's own end
+            while end > start and ((last := text[end - 1 : end]) in b".,;:\"'`" or (last in _CLOSERS and _CLOSERS[last] not in text[start:end])):
+                end -= 1
+        if end > start:
+            out.append((start, end))
+    return out
+
+
 def scan(text: bytes) -> list[tuple[int, int]]:
     """Where candidates begin and end."""
-    out = []
+    out = set(announced_values(text))
+    begun = {start for start, _ in out}
     for m in find_candidates(text):
         start, end = m.span()
         name = re.match(rb"[A-Za-z_]{2,24}=(?=[^=])", m[0])  # NAME=value without spaces: the value is the candidate
+        if name and start + name.end() in begun:
+            continue
         start += name.end() if name and end - start - name.end() >= LEAST_LENGTH else 0
         while end > start and text[end - 1] in b".-":
             end -= 1  # the sentence's own end
-        if end - start >= LEAST_LENGTH and _likely(text, start, end):
-            out.append((start, end))
+        if end - start >= LEAST_LENGTH:
+            out.add((start, end))
+    return sorted(out)
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def announced_findings(n: int = 3000, seed: int = 12) -> list[tuple[bytes, bytes, bytes, int]]:
+    """Labelled findings made by rule: passwords, passphrases and keys of one case beside secret words, and what else stands there or is long."""
+    rng = random.Random(seed)
+    lower, upper, digits, symbols = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!@#$%^&*?-_+.~"
+    some = lambda k: [rng.choice(DICTIONARY) for _ in range(k)]
+    made = lambda least, most: "".join(rng.choice("bcdfghlmnprstvw") * (j % 2 == 0) or rng.choice("aeiou") for j in range(rng.randint(least, most)))
+    filler = lambda: " ".join("".join(rng.choice("aeinorstlhdu") for _ in range(rng.randint(2, 9))) for _ in range(3))
+    clustered = lambda: "".join(rng.choice("ber er sch ein tz ung keit ver st ach mit gen lich fahr ent eau que tion".split()) for _ in range(7)).ljust(16, "e")
+    draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    name = lambda: rng.choice(["", "", "", "db_", "DB_", "user_", "--"]) + rng.choice([str.lower, str.lower, str.title, str.upper])(rng.choice(sorted(SECRET_WORDS)))
+    joins, quotes = [" = ", "=", ": ", ":", " is ", " => "], ["", '"', "'"]
+    out = []
+    for i in range(n):
+        kind = rng.random()
+        quote = rng.choice(quotes)
+        if i % 2:
+            if kind < 0.3:
+                value = rng.choice([str.lower, str.title])(rng.choice([rng.choice(DICTIONARY), made(5, 9)])) + draw(digits, rng.randint(1, 4)) + draw(lower + upper + symbols, rng.randint(2, 8))
+            elif kind < 0.45:
+                word = rng.choice([rng.choice(DICTIONARY), made(6, 9)]).title()
+                value = word.translate(str.maketrans("aeios", "43105")) + draw(digits, rng.randint(1, 3)) + draw(symbols, rng.randint(0, 2)) + rng.choice(["", rng.choice(DICTIONARY)]) + draw(symbols + digits, 1)
+            elif kind < 0.65:
+                value = draw(lower + upper + digits + symbols, rng.randint(7, 24))
+            elif kind < 0.75:
+                value = draw(lower + upper + digits, rng.randint(8, 20))
+            elif kind < 0.83:
+                value = draw(rng.choice([lower, upper]), rng.randint(12, 28))
+            elif kind < 0.9:
+                value = rng.choice("-_.") .join([*some(rng.randint(2, 3)), draw(digits + symbols, rng.randint(3, 5))])
+            else:
+                value, quote = " ".join(rng.choice([some(1)[0], made(4, 8)]) for _ in range(rng.randint(4, 6))), rng.choice(['"', "'"])
+            before = f"{filler()} {name()}{rng.choice(joins)}{quote}"
+        else:
+            before = f"{filler()} {name()}{rng.choice(joins)}{quote}"
+            if kind < 0.15:
+                value = rng.choice([some(1)[0], made(2, 12)])
+            elif kind < 0.25:
+                value = rng.choice([str.title, str.upper])(rng.choice([some(1)[0], made(2, 8)]))
+            elif kind < 0.35:
+                value = rng.choice(["none", "None", "null", "true", "false", "True", "False", "string", "str", "bytes", "undefined", "nil", "****", "********", "...", "()", "[]", "{}", "-", "it", "not", "a", "the", "required", "optional"])
+            elif kind < 0.42:
+                value = draw(digits, rng.randint(1, 8))
+            elif kind < 0.55:
+                value = rng.choice(["${%s}", "${%s}", "${%s}", "$%s", "$%s", "{{%s}}", "<%s>", "%s()", "get_%s()", "os.environ[%s]", "config.%s", "self.%s", "process.env.%s", "args.%s", "[%s]", "request.form.get(%s)"]) % rng.choice([str.lower, str.upper])("_".join([*some(rng.randint(0, 1)), rng.choice(["db", "pass", "env", "pwd", "api", *some(3)]), *some(rng.randint(0, 1))]))
+            elif kind < 0.62:
+                value = rng.choice(["your_password", "your-token-here", "changeme", "xxxxxxxx", "example_secret", "test1234", "placeholder1", "REDACTED", "your password here", "<your_key>", "dummy-secret-1"])
+            elif kind < 0.7:
+                value = "_".join(some(rng.randint(2, 3)))
+            elif kind < 0.78:
+                words = [rng.choice(["the", "a", "you", "is", "to", "and", "of", "in", "for", "it"]) if j % 2 else rng.choice([some(1)[0], made(3, 8)]) for j in range(rng.randint(3, 9))]
+                value, before = " ".join(words).capitalize() + rng.choice(["", ".", "!"]), before.rstrip("\"'") + '"'
+            elif kind < 0.84:
+                value = "https://" + ".".join(some(2)) + "/" + "/".join(some(rng.randint(1, 3)))
+            else:  # long runs of one case, and lines, with no secret word beside them
+                value = (
+                    rng.choice([str.lower, str.upper, str.title])(rng.choice([made(16, 26), clustered()])) if kind < 0.88 else "-".join([some(1)[0] if j % 2 else made(2, 6) for j in range(5)]).ljust(16, "e") if kind < 0.92
+                    else rng.choice("=-_./+") * rng.randint(16, 80) if kind < 0.94 else rng.choice(lower) * rng.randint(16, 80) if kind < 0.95 else "/".join([*some(3), made(4, 9)]).rjust(16, "/") if kind < 0.97
+                    else "".join(w.capitalize() for w in [*some(3), made(4, 8)]).ljust(16, "e")
+                )
+                before = f"{filler()} " + rng.choice(["", "", '"', "the ", "path: "])
+        out.append((before.encode(), value.encode(), f"{quote if before.endswith(quote or ' ') else ''} {filler()}".encode(), i % 2))
     return out
 
 
@@ -174,7 +301,7 @@ class Forest:
 
 
 def train(labelled: list[tuple[bytes, bytes, bytes, int]] | None = None) -> Forest:
-    labelled = findings() if labelled is None else labelled
+    labelled = findings() + announced_findings() if labelled is None else labelled
     return Forest(np.array([features(b, w, a) for b, w, a, _ in labelled]), np.array([float(y) for *_, y in labelled]))
 
 
@@ -183,7 +310,7 @@ def find_secrets(texts: list[bytes], forest: Forest) -> tuple[list[list[tuple[in
     spans = [scan(t) for t in texts]
     rows = [features(t[max(0, a - BESIDE) : a], t[a:b], t[b : b + BESIDE]) for t, found in zip(texts, spans, strict=True) for a, b in found]
     kept = iter(forest.score(np.array(rows)) >= CUT) if rows else iter(())
-    return [[s for s in found if next(kept)] for found in spans], [len(s) for s in spans]
+    return [united([s for s in found if next(kept)]) for found in spans], [len(s) for s in spans]
 
 
 def redact(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -359,6 +359,23 @@ def test_secrets_are_marked_out(spark):
     assert all(out[i]["text"] == t for i, t in enumerate(EDGE)) and len(out[0]) == 9
 
 
+def test_secrets_of_any_length_and_characters_beside_secret_words():
+    values = ["hunter2Secret", "S3cr3tP@ssw0rd!", "Tr0ub4dor&3!longer#pass", "QWZXPLMKOIJNUHBYGVTF", "qpwoeirutyalskdjfhgz", "p\u00e4ssw\u00f6rd99!x"]
+    leads = ['password = "%s"', "pwd=%s and", "DB_PASSWORD=%s;User=bob", '{"password": "%s", "user": "bob"}', "auth: password: %s", "login --password %s now", "the password for root is %s", "<password>%s</password>"]
+    harmless = ["password: string", "token = get_token()", "the key: value pairs", 'The secret: "I never liked it," she said', "token: None", "author: Tolstoy", "access: public", "monkey = banana123X", "internationalization of standards", "DEM!! DEN!! MIT!! ERSCHSCHBERBERTZ", "=" * 40, "password = ${DB_PASS}"]
+    texts = [(lead % v, lead % "[SECRET]") for lead in leads for v in values] + [(h, h) for h in harmless]
+    raw = [t.encode() for t, _ in texts]
+    spans, _ = secrets.find_secrets(raw, secrets.train())
+    assert [secrets.redact(t, s).decode() for t, s in zip(raw, spans, strict=True)] == [want for _, want in texts]
+    assert secrets.united([(5, 9), (0, 3), (7, 12), (12, 14)]) == [(0, 3), (5, 12), (12, 14)]
+
+
+def test_announced_findings_not_trained_on():
+    held = secrets.announced_findings(1500, seed=78)
+    scores = secrets.train().score(np.array([secrets.features(b, w, a) for b, w, a, _ in held]))
+    assert ((scores >= secrets.CUT) == np.array([y for *_, y in held])).mean() > 0.98
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(1)
     syllables = {"aa": ["ta", "to", "ki", "lo"], "bb": ["sch", "ung", "keit", "ver"], "cc": ["eau", "ier", "oi", "que"]}
