@@ -257,12 +257,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return spread.mapInArrow(verify, schema_of("a long, b long"))
 
 
+def linked_of(distinct: DataFrame) -> DataFrame:
+    """The fingerprints that have links, with their component's root, one of its fingerprints."""
+    roots = components(links(distinct)).select(F.col("node").alias("fingerprint"), "root")
+    return settled(roots.join(distinct, "fingerprint"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id, the smallest id that links lead to, for every row."""
     rows = settled(with_fingerprint(ids_and_texts(df, id_col, text_col)).select("doc_id", "fingerprint"))
     distinct = settled(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct)).select(F.col("node").alias("fingerprint"), "root")
-    linked = settled(roots.join(distinct, "fingerprint"))
+    linked = linked_of(distinct)
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("named")), "root").select("fingerprint", "named")
     # kept on its own, so that both sides of the join are plain shuffles and Spark can split a hot fingerprint's rows
     groups = settled(distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("named", "least").alias("component_id")))
@@ -270,18 +275,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, that with the smallest id, with the columns it had; rows with a null id stay.
+    """One row of each group, that with the smallest id, with the columns it had; null ids come last.
 
-    Where several rows have that id, one of them stays.
+    Rows are told apart by id and text, so an id may stand on different texts, in one group or in several. Of rows
+    with one id in a group that with the smallest digest of its text stays, and one of those that agree in both.
     """
-    groups = settled(near_duplicates(df, id_col, text_col))
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    key = F.col(id_col).cast("long")
-    kept = df.join(gone, key == F.col("__gone"), "left_anti")
-    again = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, key == F.col("__again"), "left_anti").unionAll(kept.join(again, key == F.col("__again"), "left_semi").dropDuplicates([id_col]))
+    digest = lambda text: F.coalesce(F.md5(F.col(text).cast("string")), F.lit(""))
+    narrow = ids_and_texts(df, id_col, text_col).withColumn("digest", digest("text"))
+    rows = settled(with_fingerprint(narrow).select("doc_id", "digest", "fingerprint"))
+    same = rows.groupBy("fingerprint", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
+    distinct = settled(same.groupBy("fingerprint").agg(F.min(first).alias("least")))
+    groups = distinct.join(linked_of(distinct).select("fingerprint", "root"), "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("least").alias("least"))
+    stays = settled(groups.select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest"), F.col("least.n").alias("__n")))
+    found = df.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest(text_col)})
+
+    def among(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("__id").alias("__stays_id"), F.col("__digest").alias("__stays_digest"))
+        return found.join(wanted, F.col("__id").eqNullSafe(F.col("__stays_id")) & (F.col("__digest") == F.col("__stays_digest")), "left_semi")
+
+    kept = among(stays.where("__n = 1"))
+    again = stays.where("__n > 1")
+    if not again.isEmpty():
+        kept = kept.unionAll(among(again).dropDuplicates(["__id", "__digest"]))
+    return kept.drop("__id", "__digest")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

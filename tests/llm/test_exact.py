@@ -200,6 +200,22 @@ def test_one_of_each_group_stays(spark):
     assert sorted(((r["doc_id"] or -1), r["text"]) for r in simhash.keep_one(docs).collect() if r["doc_id"] is not None) == [(1, ""), (3, a), (9, b)]
 
 
+def test_one_of_each_group_stays_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (sentences(rng, 100, 900) for _ in range(5))
+    cases = [
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),  # 5 is a copy in one group and the only row of another
+        ([(5, b), (5, c)], [(5, b), (5, c)]),  # two groups of one name
+        ([(7, a), (None, a), (None, d), (None, d), (None, e)], [(7, a), (None, d), (None, e)]),
+        ([(4, a), (4, a), (4, b), (4, b), (None, ""), (None, None)], [(4, a), (4, b), (None, None)]),
+    ]
+    for rows, want in cases:
+        found = simhash.keep_one(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3))
+        assert found.columns == ["doc_id", "text", "n"]
+        got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in found.collect()))
+        assert got == sorted((i or -1, t or "") for i, t in want)
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7), (None, 3)]
