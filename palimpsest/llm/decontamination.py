@@ -5,8 +5,8 @@ words that no tile covers yet become tiles, longest first, found by running Karp
 tiles cover a part of the item in whatever order its parts stand in the document, so reordered passages are caught: a
 document is contaminated by an item if the tiles cover at least COVERAGE of the item's words.
 
-Words are compared in lower case without ASCII punctuation. Null and empty documents are clean; null items, and items
-of fewer than SEED words, can't contaminate. Each row is judged on its own, so repeated rows and ids get equal results.
+Words are compared in lower case without ASCII punctuation. Null and empty documents are clean; items with a null text,
+and items of fewer than SEED words, can't contaminate; items with a null id do, and give a null item_id. Each row is judged on its own, so repeated rows and ids get equal results.
 Documents are read whole. The benchmark is sent to the executors in blocks of proven size; every block meets all rows.
 """
 
@@ -97,10 +97,10 @@ def _free_runs(one: list[bool], other: list[bool], least: int) -> list[tuple[int
 class Benchmark:
     """A block of items, with an index of their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.words: dict[bytes, int] = {}
         self.ids, self.tokens = [], []
-        for item, text in sorted(items):
+        for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             tokens = [self.words.setdefault(w, len(self.words)) for w in words_of(text.encode())]
             if len(tokens) >= SEED:
                 self.ids.append(item)
@@ -118,8 +118,12 @@ class Benchmark:
             value ^= value >> np.uint64(29)
         return value
 
-    def judge(self, texts: list[bytes]) -> list[tuple[float, int, int]]:
-        """For each text the largest coverage, the item it is of (the smallest of equals, -1 for none), and how many items contaminate."""
+    def judge(self, texts: list[bytes]) -> list[tuple[float, int | None, int]]:
+        """For each text the largest coverage, the item it is of (the smallest of equals, an item without id last; -1 for none), and how many items contaminate."""
+        return [(covered, self.ids[item] if item >= 0 else -1, n) for covered, item, n in self._places(texts)]
+
+    def _places(self, texts: list[bytes]) -> list[tuple[float, int, int]]:
+        """The same with the item's place among the items."""
         out = [(0.0, -1, 0)] * len(texts)
         if not self.ids:
             return out
@@ -141,10 +145,10 @@ class Benchmark:
                 seeds[int(owner[i]), int(item)].append(int(at[i]))
         for (text, item), places in seeds.items():
             covered = sum(n for _, _, n in greedy_tiles(self.tokens[item], self._regions(flat, places))) / len(self.tokens[item])
-            best, name, count = out[text]
-            if covered > best or covered == best and 0 <= self.ids[item] < name:
-                best, name = covered, self.ids[item]
-            out[text] = (best, name, count + (covered >= COVERAGE))
+            best, place, count = out[text]
+            if covered > best or covered == best and item < place:
+                best, place = covered, item
+            out[text] = (best, place, count + (covered >= COVERAGE))
         return out
 
     @staticmethod
@@ -161,10 +165,10 @@ class Benchmark:
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[Benchmark]:
     """The benchmark (item_id, text) in blocks of about `limit` bytes of text, as its measured size asks for."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = total // limit + 1
-    return [Benchmark([(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]) for k in range(parts)]
+    return [Benchmark([(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]) for k in range(parts)]
 
 
 def _kernel(spark: SparkSession, block: Benchmark):

@@ -325,6 +325,18 @@ def test_benchmark_passages_are_caught(spark, monkeypatch):
     assert decontamination.judge(table(spark, texts), none).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_contaminate(spark):
+    rng = random.Random(17)
+    a, b = sentences(rng, 40, 5000), sentences(rng, 40, 5000)
+    benchmark = spark.createDataFrame([(None, a), (None, b), (6, b), (7, None)], "item_id long, text string")
+    docs = table(spark, [sentences(rng, 30, 5000) + " " + a, b, sentences(rng, 60, 5000)])
+    for limit in (8_000_000, 200):
+        parts = decontamination.blocks(benchmark, limit)
+        found = decontamination.judge(docs, parts).where("contaminated").collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} >= {(0, None), (1, 6)} and {r["doc_id"] for r in found} == {0, 1}
+        assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, parts).collect()] == [2]
+
+
 # 10: sharding
 
 
