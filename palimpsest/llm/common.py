@@ -11,9 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.session import send_package, shared_dir
 
-#: Rows in an Arrow batch; a batch of the longest texts stays near 100 MB.
-BATCH_ROWS = 1000
-#: Bytes of text that one call of a numpy kernel sees.
+#: Bytes of text that one call of a numpy kernel sees. Spark itself bounds the batches by bytes (arrow.maxBytesPerBatch).
 SLICE_BYTES = 2_000_000
 
 
@@ -40,6 +38,13 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to be no column's, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    front = next("_" * n for n in range(1, len(taken) + 2) if not taken & {"_" * n + name.lower() for name in names})
+    return [front + name for name in names]
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -60,9 +65,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
     read = list(dict.fromkeys([*names, text_col]))
     at = read.index(text_col)
     df = df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in read]).toDF(*[f"c{i}" for i in range(len(read))])  # any name is safe inside
-    spark = df.sparkSession
-    send_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    send_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = kernel()

@@ -6,26 +6,29 @@ tiles cover a part of the item in whatever order its parts stand in the document
 document is contaminated by an item if the tiles cover at least COVERAGE of the item's words.
 
 Words are compared in lower case without ASCII punctuation. Null and empty documents are clean; items with a null text,
-and items of fewer than SEED words, can't contaminate; items with a null id do, and give a null item_id. Each row is judged on its own, so repeated rows and ids get equal results.
-Documents are read whole. The benchmark is sent to the executors in blocks of proven size; every block meets all rows.
+and items of fewer than SEED words, can't contaminate; items with a null id do, and give a null item_id. Each row is
+judged on its own, whatever its id, so repeated rows and ids get equal results. Documents are read whole. The benchmark
+is sent to the executors in blocks whose size is counted first, and each row goes through all blocks with what they
+have found so far: the number of blocks changes no result.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from functools import reduce
-from itertools import chain, repeat
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain, repeat
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm.common import annotate, documents, ids_and_texts, slices
+from palimpsest.llm.common import annotate, documents, ids_and_texts, settled, slices, unused
 
 #: Words of a seed, which is also the shortest tile, and the least part of an item that tiles must cover.
 SEED, COVERAGE = 5, 0.5
-#: Bytes of benchmark text in a block that is sent to the executors.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text in a block that is sent to the executors, and blocks that a Python worker holds at a time.
+BLOCK_BYTES, BLOCKS_AT_ONCE = 8_000_000, 4
 _GAPS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _STEP, _MODULUS = 1_000_003, (1 << 61) - 1
 
@@ -58,6 +61,8 @@ def greedy_tiles(pattern: list[int], text: list[int], least: int = SEED) -> list
         matches, longest = [], 0
         for value, p in _running(pattern, in_pattern, length):
             for t in places.get(value, ()):
+                if p and t and pattern[p - 1] == text[t - 1] and not in_pattern[p - 1] and not in_text[t - 1]:
+                    continue  # inside a longer match, which is found where it begins
                 n = 0
                 while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not in_pattern[p + n] and not in_text[t + n]:
                     n += 1
@@ -139,44 +144,91 @@ class Benchmark:
         many = np.searchsorted(self.keys, values, "right") - low
         stops = np.cumsum(n)
         owner = np.searchsorted(stops, at, "right")
-        seeds: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i in np.flatnonzero((many > 0) & (at + SEED <= stops[owner])):
-            for item in self.owners[low[i] : low[i] + many[i]]:
-                seeds[int(owner[i]), int(item)].append(int(at[i]))
-        for (text, item), places in seeds.items():
-            covered = sum(n for _, _, n in greedy_tiles(self.tokens[item], self._regions(flat, places))) / len(self.tokens[item])
-            best, place, count = out[text]
-            if covered > best or covered == best and item < place:
-                best, place = covered, item
-            out[text] = (best, place, count + (covered >= COVERAGE))
+        hits = np.flatnonzero((many > 0) & (at + SEED <= stops[owner]))
+        for own in np.split(hits, np.flatnonzero(np.diff(owner[hits])) + 1) if len(hits) else []:
+            text, reps = int(owner[own[0]]), many[own]
+            items = self.owners[np.repeat(low[own] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())]
+            order = np.argsort(items, kind="stable")
+            items, places = items[order], np.repeat(at[own], reps)[order]
+            for group in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
+                item = int(items[group[0]])
+                pattern = self.tokens[item]
+                covered = sum(n for _, _, n in greedy_tiles(pattern, regions(flat, places[group], len(pattern)))) / len(pattern)
+                best, place, count = out[text]
+                if covered > best or covered == best and item < place:
+                    best, place = covered, item
+                out[text] = (best, place, count + (covered >= COVERAGE))
         return out
 
-    @staticmethod
-    def _regions(flat: np.ndarray, places: list[int]) -> list[int]:
-        """The words that seeds cover, with a word that matches nothing between runs; no tile lies anywhere else."""
-        tokens, end = [], -1
-        for at in places:
-            if at > end:
-                tokens.append(-1)
-            tokens += flat[max(at, end) : at + SEED].tolist()
-            end = at + SEED
-        return tokens
 
+def regions(flat: np.ndarray, places: np.ndarray, size: int) -> list[int]:
+    """The words that seeds cover, with a word that matches nothing between runs; no tile lies anywhere else.
+
+    An item of `size` words has room for size // SEED tiles. So of equal runs one more than that are enough, as the
+    first ones are taken first.
+    """
+    room = size // SEED + 1
+    tokens: list[int] = []
+    seen: dict[bytes, int] = defaultdict(int)
+    starts = np.append(0, np.flatnonzero(np.diff(places) > SEED) + 1)
+    ends = places[np.append(starts[1:], len(places)) - 1] + SEED
+    for first, last in zip(places[starts].tolist(), ends.tolist(), strict=True):
+        run = shortened(flat[first:last], 2 * room * size)
+        key = run.tobytes()
+        seen[key] += 1
+        if seen[key] <= room:
+            tokens.append(-1)
+            tokens += run.tolist()
+    return tokens
+
+
+def shortened(run: np.ndarray, most: int) -> np.ndarray:
+    """A run of words in which stretches of fewer than SEED words over and over have no more than `most` words.
+
+    What goes is whole periods from their middle. A match inside them is as good a few periods further on, and at both
+    ends there is room for all tiles.
+    """
+    for period in range(1, SEED):
+        if len(run) <= most:
+            break
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (run[period:] == run[:-period]).view(np.int8), [0]])))
+        begins, sizes = edges[::2], edges[1::2] - edges[::2] + period
+        stay = np.ones(len(run), bool)
+        for i in np.flatnonzero(sizes > most):
+            middle = begins[i] + most // 2
+            stay[middle : middle + (sizes[i] - most) // period * period] = False
+        run = run[stay]
+    return run
+
+
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Benchmark]:
+    """The benchmark (item_id, text) in blocks of at most `limit` bytes of text, or of one item that is longer, one by one."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    parts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // limit + 1
+    while True:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+        sizes = rows.groupBy(part.alias("part")).agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("items")).collect()
+        if all(r["n"] <= limit or r["items"] == 1 for r in sizes):
+            break
+        parts *= 2
+    for k in sorted(r["part"] for r in sizes):
+        yield Benchmark([(r["item_id"], r["text"]) for r in rows.where(part == k).collect()])
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[Benchmark]:
-    """The benchmark (item_id, text) in blocks of about `limit` bytes of text, as its measured size asks for."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = total // limit + 1
-    return [Benchmark([(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]) for k in range(parts)]
 
+def _better(one: tuple, other: tuple) -> tuple:
+    """Of two judgements of a text the larger coverage with its item, the smaller item of equals, and the items of both."""
+    rank = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    first = min(one, other, key=rank)
+    return first[0], first[1], one[2] + other[2]
 
-def _kernel(spark: SparkSession, block: Benchmark):
-    shared = spark.sparkContext.broadcast(block)  # a block's size is bounded by blocks()
 
+def _kernel(held: list[Broadcast]):
     def kernel():
         def run(texts: list[bytes]) -> dict:
-            found = list(chain.from_iterable(shared.value.judge(texts[a:b]) for a, b in slices(texts)))
+            found = [(0.0, -1, 0)] * len(texts)
+            for a, b in slices(texts):
+                for shared in held:
+                    found[a:b] = map(_better, found[a:b], shared.value.judge(texts[a:b]))
             hit = [c >= COVERAGE for c, _, _ in found]
             return {"coverage": [c for c, _, _ in found], "item_id": [i for _, i, _ in found], "n_items": [k for _, _, k in found], "contaminated": hit, "clean": [not h for h in hit]}
 
@@ -185,25 +237,42 @@ def _kernel(spark: SparkSession, block: Benchmark):
     return kernel
 
 
-def judge(df: DataFrame, parts: list[Benchmark], text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """id_cols with coverage, item_id, n_items and contaminated, one row for each row and block of the benchmark."""
-    rows = df.select(*id_cols, text_col)
+def _sent(spark: SparkSession, parts: Iterable[Benchmark]) -> Iterator[list[Broadcast]]:
+    """The blocks, each sent to the executors and not kept here, a few at a time; at least one list, if an empty one."""
+    sent = batched((spark.sparkContext.broadcast(b) for b in parts), BLOCKS_AT_ONCE)
+    yield list(next(sent, ()))
+    yield from map(list, sent)
+
+
+def judge(df: DataFrame, parts: Iterable[Benchmark], text_col: str = "text") -> DataFrame:
+    """Adds coverage, item_id, n_items and contaminated to every row.
+
+    More blocks than a worker holds at a time take turns, and the rows with what was found are kept in between.
+    """
     fields = "coverage double, item_id long, n_items int, contaminated boolean"
-    found = [annotate(rows, text_col, fields, _kernel(df.sparkSession, b)).drop(text_col) for b in parts]
-    return reduce(DataFrame.unionAll, found)
+    out: DataFrame | None = None
+    for held in _sent(df.sparkSession, parts):
+        if out is None:
+            out = annotate(df, text_col, fields, _kernel(held))
+            continue
+        covered, item, n = unused(out, "coverage", "item_id", "n_items")
+        out = settled(out).withColumnsRenamed({"coverage": covered, "item_id": item, "n_items": n})
+        out = annotate(out, text_col, fields, _kernel(held))
+        rank = lambda c, i: F.struct(-F.col(c), F.col(i).isNull(), F.coalesce(F.col(i), F.lit(0)))
+        keep = rank(covered, item) <= rank("coverage", "item_id")
+        best = {"item_id": F.when(keep, F.col(item)).otherwise(F.col("item_id")), "coverage": F.greatest(covered, "coverage"), "n_items": F.col(n) + F.col("n_items")}
+        out = out.withColumns(best | {"contaminated": F.greatest(covered, "coverage") >= COVERAGE}).drop(covered, item, n)
+    return out
 
 
-def drop_contaminated(df: DataFrame, parts: list[Benchmark], text_col: str = "text") -> DataFrame:
+def drop_contaminated(df: DataFrame, parts: Iterable[Benchmark], text_col: str = "text") -> DataFrame:
     """The rows that no item contaminates, with the columns they had."""
-    for block in parts:
-        df = annotate(df, text_col, "clean boolean", _kernel(df.sparkSession, block), keep="clean")
+    for turn, held in enumerate(_sent(df.sparkSession, parts)):
+        df = annotate(settled(df) if turn else df, text_col, "clean boolean", _kernel(held), keep="clean")
     return df
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents: the item that is covered most, how far, and by how many items the document is contaminated."""
-    parts = blocks(documents(spark, sf_dir, "benchmark"))
-    found = judge(ids_and_texts(documents(spark, sf_dir)), parts).where("contaminated")
-    if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.max_by("item_id", F.struct("coverage", -F.col("item_id"))).alias("item_id"), F.max("coverage").alias("coverage"), F.sum("n_items").cast("int").alias("n_items"), F.lit(True).alias("contaminated"))
-    return found.select("doc_id", "contaminated", "coverage", "item_id", "n_items")
+    found = judge(ids_and_texts(documents(spark, sf_dir)), blocks(documents(spark, sf_dir, "benchmark")))
+    return found.where("contaminated").select("doc_id", "contaminated", "coverage", "item_id", "n_items")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm.common import BATCH_ROWS, column_bytes, documents, ids_and_texts, schema_of, settled, slices
+from palimpsest.llm.common import column_bytes, documents, ids_and_texts, schema_of, settled, slices
 
 WINDOW, GRAM = 35, 6
 #: Distinct stretches beyond which an anchor is passed over, if they are also over 1 in HOT_SHARE of all; so at most HOT_SHARE anchors are.
@@ -158,7 +158,6 @@ def repeated_spans(strings: list[list[bytes]], copies: list[int], least: int = W
 
 
 def _arrow(run, df: DataFrame, ddl: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema_of(ddl))
 
 
@@ -253,7 +252,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             have += more
                     at, group = anchor, {}
                 group[hashed] = (copies, words)
-            if len(out[0]) > BATCH_ROWS:
+            if len(out[0]) > 1000:
                 yield batch_of(out)
                 out = [[], [], []]
         if group:

@@ -317,11 +317,11 @@ def test_benchmark_passages_are_caught(spark, monkeypatch):
     base = len(EDGE)
     want = {base: 4, base + 1: 3, base + 4: 5}
     for limit in (8_000_000, 900):
-        parts = decontamination.blocks(benchmark, limit)
+        parts = list(decontamination.blocks(benchmark, limit))
         found = decontamination.judge(table(spark, texts), parts).where("contaminated").collect()
         assert {r["doc_id"]: r["item_id"] for r in found} == want
         assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(clashing(spark, texts), parts).collect()) == sorted(set(range(len(texts))) - set(want))
-    none = decontamination.blocks(benchmark.limit(0))
+    none = list(decontamination.blocks(benchmark.limit(0)))
     assert decontamination.judge(table(spark, texts), none).where("contaminated").count() == 0
 
 
@@ -331,12 +331,48 @@ def test_items_without_an_id_contaminate(spark):
     benchmark = spark.createDataFrame([(None, a), (None, b), (6, b), (7, None)], "item_id long, text string")
     docs = table(spark, [sentences(rng, 30, 5000) + " " + a, b, sentences(rng, 60, 5000)])
     for limit in (8_000_000, 200):
-        parts = decontamination.blocks(benchmark, limit)
+        parts = list(decontamination.blocks(benchmark, limit))
         found = decontamination.judge(docs, parts).where("contaminated").collect()
         assert {(r["doc_id"], r["item_id"]) for r in found} >= {(0, None), (1, 6)} and {r["doc_id"] for r in found} == {0, 1}
         assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, parts).collect()] == [2]
 
 
+def test_any_number_of_blocks_gives_the_same_rows(spark, monkeypatch):
+    """Repeated rows, equal and null ids; each row is judged on its own."""
+    rng = random.Random(27)
+    items = [(i, sentences(rng, 30, 5000)) for i in range(9)] + [(20, "p q r s t u v w x y")] * 2
+    both = items[0][1] + " . " + items[7][1]
+    docs = [(1, both), (1, both), (1, items[3][1]), (None, both), (None, both), (None, items[2][1]), (4, "clean text " * 9), (5, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(*d, 0.1, "mine") for d in docs], "doc_id long, text string, coverage double, _n_items string")
+    want = sorted([("1", 1.0, 0, 2)] * 2 + [("1", 1.0, 3, 1)] + [("None", 1.0, 0, 2)] * 2 + [("None", 1.0, 2, 1)])
+    for limit, at_once in ((8_000_000, 4), (400, 100), (400, 2)):
+        monkeypatch.setattr(decontamination, "BLOCKS_AT_ONCE", at_once)
+        parts = list(decontamination.blocks(benchmark, limit))
+        assert sum(len(b.ids) for b in parts) == 10 and (limit > 400 or len(parts) > 3)
+        out = decontamination.judge(df.repartition(3), parts)
+        assert out.count() == len(docs) and set(out.columns) == {"doc_id", "text", "_n_items", "coverage", "item_id", "n_items", "contaminated"}
+        assert sorted((str(r["doc_id"]), r["coverage"], r["item_id"], r["n_items"]) for r in out.where("contaminated").collect()) == want
+        assert sorted(str(r["doc_id"]) for r in decontamination.drop_contaminated(df, parts).collect()) == ["4", "5"]
+
+
+def test_words_over_and_over_take_no_square_time():
+    """What regions() leaves out changes no coverage, and a million equal words are judged at once."""
+    rng = random.Random(31)
+    for _ in range(400):
+        period = [rng.randrange(4) for _ in range(rng.randrange(1, 5))]
+        pattern = ([rng.randrange(4) for _ in range(rng.randrange(4))] + period * 9)[: rng.randrange(5, 16)]
+        text = [rng.randrange(4) for _ in range(rng.randrange(6))] + period * rng.randrange(30, 60) + [rng.randrange(4) for _ in range(rng.randrange(6))] + pattern * rng.randrange(3)
+        flat, grams = np.array(text), {tuple(pattern[i : i + decontamination.SEED]) for i in range(len(pattern))}
+        places = np.array([i for i in range(len(text) - 4) if tuple(text[i : i + 5]) in grams], np.int64)
+        if len(places):
+            whole = [t for a, b in zip([-99, *places], places, strict=False) for t in ([-1] if b - a > 5 else []) + text[max(b, a + 5) : b + 5]]
+            left = decontamination.regions(flat, places, len(pattern))
+            assert sum(n for *_, n in decontamination.greedy_tiles(pattern, left)) == sum(n for *_, n in decontamination.greedy_tiles(pattern, whole))
+    block = decontamination.Benchmark([(1, "no " * 60), (2, "so it goes " * 20), (3, "no so it goes on " * 12)])
+    assert block.judge([b"no " * 10**6, b"so it goes " * 300_000, b"other words " * 10**5]) == [(1.0, 1, 1), (1.0, 2, 1), (0.0, -1, 0)]
+
+
 # 10: sharding
 
 
