@@ -21,6 +21,8 @@ from palimpsest.llm.pretokens import find_pretokens
 
 #: Nodes of the trie and entries of the table of counts; at these sizes each is emptied, which changes no result.
 TRIE_NODES, TABLE_SIZE = 500_000, 800_000
+#: Bytes beyond which a pre-token is not put in the trie or the table, but scored in passing.
+LONG = 2000
 
 
 class ForwardTrie:
@@ -54,6 +56,23 @@ class ForwardTrie:
             path.append(node)
         return cuts[node]
 
+    def alone(self, data: bytes) -> int:
+        """The same for a long pre-token, which shares no prefix worth keeping: only the last scores are held."""
+        scores, longest = self.scores, self.longest
+        forward, cuts = [0.0], [0]  # of the last `longest` prefixes and some more
+        for end in range(1, len(data) + 1):
+            best, fewest, first = -math.inf, 0, end - len(forward)
+            for start in range(max(0, end - longest), end):
+                if (score := scores.get(data[start:end])) is not None:
+                    total, n = forward[start - first] + score, cuts[start - first] + 1
+                    if total > best or total == best and n < fewest:
+                        best, fewest = total, n
+            forward.append(best)
+            cuts.append(fewest)
+            if len(forward) > 8 * longest:
+                del forward[:-longest], cuts[:-longest]
+        return cuts[-1]
+
     def count(self, text: str) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
         tokens, counts = find_pretokens(text), self.counts
@@ -63,11 +82,16 @@ class ForwardTrie:
             pass
         if len(counts) >= TABLE_SIZE:
             counts.clear()
+        long: dict[str, int] = {}
         for token in set(tokens).difference(counts):
+            data = token.encode()
+            if len(data) > LONG:
+                long[token] = self.alone(data)
+                continue
             if len(self.forward) >= TRIE_NODES:
                 self.reset()
-            counts[token] = self.insert(token.encode())
-        return len(tokens), sum(map(counts.__getitem__, tokens))
+            counts[token] = self.insert(data)
+        return len(tokens), sum(long[t] if t in long else counts[t] for t in tokens)
 
 
 def vocabulary(path: str | None = None) -> bytes:
