@@ -3,27 +3,28 @@
 Words are hashed, whole and by their beginning, and a word's embedding is the sum of both rows. A hash has a row if it
 occurs in enough training texts, found by the hash's slot and confirmed by the whole hash; the others share the row of
 rare words. An embedding starts from the log odds of its hash among toxic texts. Filters of several widths slide over
-the words, the largest response of each filter over the whole text is kept, and a logistic layer reads those. Thresholds are
-calibrated for each language group, which is told from the text's own function words: a group's threshold on held-back
-training rows is moved to 0.7, so one cut serves all.
+the words, the largest response of each filter over the whole text is kept, and a logistic layer reads those. Thresholds
+are calibrated for each language: the threshold on its held-back training rows is moved to 0.7, so one cut serves all.
+Which language a text is in is told from its n-grams alone, by a filter learned from the same training rows.
 
-Labels, languages and ids never enter a score. Without labels of both classes nothing can be learned, and every score is 0. Null and empty texts score as a text of no words does. Texts are read
-whole. Equal texts get equal scores.
+Labels, ids and given languages never enter a score. Without labels of both classes nothing can be learned, and every
+score is 0. Null and empty texts score as a text of no words does. Texts are read whole. Equal texts get equal scores.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm.common import annotate, documents, slices
+from palimpsest.llm.langid import LanguageFilter
 
-#: Labelled rows to train on at most, drawn by a hash of the text.
-TRAIN_ROWS = 6000
+#: Labelled ids to train on at most, about, drawn by a hash of the id; texts of more bytes are not trained on, but scored as any.
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 6000, 100_000
 #: Parts that the drawn rows are gathered in; the driver fetches one at a time.
 DRAWN_PARTS = 8
 WIDTHS, FILTERS, DIMENSION = (1, 2, 3), 8, 8
@@ -31,14 +32,6 @@ WIDTHS, FILTERS, DIMENSION = (1, 2, 3), 8, 8
 SLOT_BITS, LEAST_TEXTS = 16, 3
 EPOCHS, BATCH, RATE = 4, 64, 0.03
 CUT = 0.7
-#: Frequent function words that tell the language group of a text.
-FUNCTION_WORDS = {
-    "en": "the of and is to that for with by was are this it not be on",
-    "fr": "le la les du et une un est dans que qui pour sur des au",
-    "de": "der die das und ein zu den mit von nicht ist im sich auf dem",
-    "es": "el los las una y en se por con para del como lo su",
-}
-GROUPS = ["other", *FUNCTION_WORDS]
 _GAPS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 RARE, GAP = 0, 1
 #: Bytes of a word's beginning.
@@ -56,10 +49,6 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _group_hashes() -> list[np.ndarray]:
-    return [np.array(sorted(zlib.crc32(w.encode()) for w in words.split()), np.uint32) for words in FUNCTION_WORDS.values()]
-
-
 @dataclass
 class Network:
     tags: np.ndarray  # the hash that owns each row; rows RARE and GAP have none
@@ -67,8 +56,10 @@ class Network:
     filters: list[np.ndarray]  # for each width: positions x dimension x filters
     bias: np.ndarray
     weights: np.ndarray
-    offset: float
-    cuts: dict[str, float]
+    offset: float = 0.0
+    cut: float = 0.0  # the threshold of texts in no language that has one
+    cuts: dict[str, float] = field(default_factory=dict)
+    languages: LanguageFilter | None = None
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes & np.uint32((1 << SLOT_BITS) - 1)).astype(np.int64)
@@ -103,29 +94,26 @@ class Network:
             found.append(np.maximum.reduceat(response, bounds, axis=0)[::2])
         return np.concatenate(found, axis=1), responses
 
-    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The logit and the language group of each text."""
+    def logits(self, texts: list[bytes]) -> np.ndarray:
         hashes, n = hashed(texts)
         tables = self.__dict__.setdefault("_tables", self.projected())
         rows, begins = self.laid_out(self.rows(hashes), n)
         top, _ = self.pooled(rows, begins, tables)
-        owner, votes = np.repeat(np.arange(len(n)), n), []
-        for known in _group_hashes():
-            at = np.minimum(np.searchsorted(known, hashes[0]), len(known) - 1)
-            votes.append(np.bincount(owner[known[at] == hashes[0]], minlength=len(n)))
-        votes = np.array(votes)
-        group = np.where(votes.max(axis=0) > 0, votes.argmax(axis=0) + 1, 0)
         hidden = np.maximum(top + self.bias, 0).astype(np.float64)
-        return (hidden * self.weights).sum(axis=1) + self.offset, group  # summed row by row, so a score never depends on the batch
+        return (hidden * self.weights).sum(axis=1) + self.offset  # summed row by row, so a score never depends on the batch
+
+    def told(self, texts: list[bytes]) -> list[str]:
+        """The language each text seems to be in."""
+        return self.languages.predict([t.decode() for t in texts])[0] if self.languages else [""] * len(texts)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        logit, group = self.logits(texts)
-        moved = logit - np.array([self.cuts[g] for g in GROUPS])[group] + np.log(CUT / (1 - CUT))
+        cuts = np.array([self.cuts.get(x, self.cut) for x in self.told(texts)])
+        moved = self.logits(texts) - cuts + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(moved, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
-    """Trains on four fifths of the rows and calibrates on the others."""
+def fit(texts: list[bytes], labels: np.ndarray, languages: list[str | None] | None = None, seed: int = 7) -> Network:
+    """Trains on four fifths of the rows and calibrates on the others, for each language if those of the rows are given."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
@@ -149,7 +137,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     net = Network(
         tags, (rng.normal(size=((1 << SLOT_BITS) + 2, DIMENSION)) * 0.05).astype(np.float32),
         [(rng.normal(size=(w, DIMENSION, FILTERS)) * (0.5 / w)).astype(np.float32) for w in WIDTHS],
-        np.zeros(FILTERS * len(WIDTHS), np.float32), (rng.normal(size=FILTERS * len(WIDTHS)) * 0.2).astype(np.float32), 0.0, dict.fromkeys(GROUPS, 0.0),
+        np.zeros(FILTERS * len(WIDTHS), np.float32), (rng.normal(size=FILTERS * len(WIDTHS)) * 0.2).astype(np.float32),
     )
     net.embedding[:, 0] = 0
     net.embedding[slot + 2, 0] = odds[rarest_first]
@@ -166,6 +154,11 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
             flat = np.concatenate([rows[:, starts[i] : starts[i + 1]] for i in part], axis=1)
             laid, begins = net.laid_out(flat, n[part])
             _step(net, laid, begins, labels[part], share, rate, squares)
+    by_language: dict[str, list[str]] = {}
+    for text, language in zip(texts, languages or [], strict=False):
+        if language is not None:
+            by_language.setdefault(language, []).append(text.decode())
+    net.languages = LanguageFilter.of_texts(by_language)
     _calibrate(net, [texts[i] for i in held], labels[held])
     return net
 
@@ -215,7 +208,7 @@ def _step(net: Network, rows: np.ndarray, begins: np.ndarray, labels: np.ndarray
 
 
 def _calibrate(net: Network, texts: list[bytes], labels: np.ndarray) -> None:
-    """For each group the logit between the classes with the fewest errors on held-back rows, shrunk to that of all rows."""
+    """For each language the logit between the classes with the fewest errors on held-back rows, shrunk to that of all rows."""
 
     def cut(logit: np.ndarray, label: np.ndarray) -> float:
         order = np.argsort(logit)
@@ -228,21 +221,22 @@ def _calibrate(net: Network, texts: list[bytes], labels: np.ndarray) -> None:
 
     if not len(texts) or len(set(labels.tolist())) < 2:
         return
-    parts = [net.logits(texts[a:b]) for a, b in slices(texts)]
-    logit, group = (np.concatenate(x) for x in zip(*parts, strict=True))
-    base = cut(logit, labels)
-    for i, name in enumerate(GROUPS):
-        own = group == i
+    logit = np.concatenate([net.logits(texts[a:b]) for a, b in slices(texts)])
+    told = np.array(net.told(texts))
+    net.cut = cut(logit, labels)
+    for language in set(told.tolist()):
+        own = told == language
         n = int(min((labels[own] == 1).sum(), (labels[own] == 0).sum()))
-        net.cuts[name] = (n * cut(logit[own], labels[own]) + 20 * base) / (n + 20) if n else base
+        if n:
+            net.cuts[language] = (n * cut(logit[own], labels[own]) + 20 * net.cut) / (n + 20)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
-    """Fits on at most about `rows` labelled rows, drawn by a hash of the id; half of them, if there are so many, are toxic.
+    """Fits on at most about `rows` labelled ids, drawn by a hash of the id; half of them, if there are so many, are toxic.
 
-    docs: doc_id, text. labels: doc_id, toxic; null ids and labels are left out, and a row labelled both ways counts as
-    toxic. The drawn labels are bounded by `rows`, so they are broadcast and no text is shuffled. None without both
-    classes.
+    docs: doc_id, text and, for thresholds by language, lang. labels: doc_id, toxic; null ids and labels are left out,
+    and a row labelled both ways counts as toxic. The drawn labels are bounded by `rows`, so they are broadcast and no
+    text is shuffled but the drawn, each once. None without both classes.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -250,15 +244,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / 2 / n)))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
-    drawn = docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    texts, ys = [], []
-    for row in drawn.repartition(DRAWN_PARTS).toLocalIterator():  # few jobs, however many parts the table has
-        texts.append(row["text"].encode())
-        ys.append(row["toxic"])
-    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), texts[i], ys[i]))
-    if len(set(ys)) < 2:
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    docs = docs.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).select("doc_id", "text", lang.alias("lang"))
+    drawn = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", F.xxhash64("text", "lang")).agg(*[F.any_value(c).alias(c) for c in ("text", "lang", "toxic")])
+    found = []
+    for row in drawn.select("text", "lang", "toxic").repartition(DRAWN_PARTS).toLocalIterator():  # few jobs, however many parts the table has
+        found.append((row["text"].encode(), row["toxic"], row["lang"]))
+    found.sort(key=lambda x: (zlib.crc32(x[0]), x[0], x[1], x[2] or ""))
+    if len({y for _, y, _ in found}) < 2:
         return None
-    return fit([texts[i] for i in order], np.array([ys[i] for i in order]))
+    texts, ys, languages = zip(*found, strict=True)
+    return fit(list(texts), np.array(ys), list(languages))
 
 
 def score(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
@@ -288,7 +284,7 @@ def _kernel(spark: SparkSession, net: Network | None):
 def learned(spark: SparkSession, sf_dir: str) -> Network | None:
     """A network from the labels whose rows are not held out."""
     kept = "crc32(cast(doc_id as string)) % 3 != 1"
-    return train(documents(spark, sf_dir).select("doc_id", "text").where(kept), documents(spark, sf_dir, "labels").select("doc_id", "toxic").where(kept))
+    return train(documents(spark, sf_dir).select("doc_id", "text", "lang").where(kept), documents(spark, sf_dir, "labels").select("doc_id", "toxic").where(kept))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
