@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm.common import annotate, documents, ids_and_texts, schema_of, settled, slices
+from palimpsest.llm.common import annotate, documents, ids_and_texts, schema_of, settled, slices, unused
 from palimpsest.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -287,18 +287,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n")
     distinct = settled(same.groupBy("fingerprint").agg(F.min(first).alias("least")))
     groups = distinct.join(linked_of(distinct).select("fingerprint", "root"), "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("least").alias("least"))
-    stays = settled(groups.select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest"), F.col("least.n").alias("__n")))
-    found = df.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest(text_col)})
+    own_id, own_digest = unused(df, "id", "digest")
+    stays = settled(groups.select(F.col("least.doc_id").alias(f"{own_id}_stays"), F.col("least.digest").alias(f"{own_digest}_stays"), F.col("least.n").alias("n")))
+    found = df.withColumns({own_id: F.col(id_col).cast("long"), own_digest: digest(text_col)})
 
     def among(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.select(F.col("__id").alias("__stays_id"), F.col("__digest").alias("__stays_digest"))
-        return found.join(wanted, F.col("__id").eqNullSafe(F.col("__stays_id")) & (F.col("__digest") == F.col("__stays_digest")), "left_semi")
+        same = F.col(own_id).eqNullSafe(F.col(f"{own_id}_stays")) & (F.col(own_digest) == F.col(f"{own_digest}_stays"))
+        return found.join(wanted.drop("n"), same, "left_semi")
 
-    kept = among(stays.where("__n = 1"))
-    again = stays.where("__n > 1")
+    kept = among(stays.where("n = 1"))
+    again = stays.where("n > 1")
     if not again.isEmpty():
-        kept = kept.unionAll(among(again).dropDuplicates(["__id", "__digest"]))
-    return kept.drop("__id", "__digest")
+        kept = kept.unionAll(among(again).dropDuplicates([own_id, own_digest]))
+    return kept.drop(own_id, own_digest)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
