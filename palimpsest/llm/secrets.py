@@ -6,43 +6,36 @@ forest reads its length, the transitions between character classes, how much of
 path, and the words beside it. It is trained in numpy on labelled findings, rows of (text before, candidate, text after,
 secret); where there are none, findings() makes some by rule, from a seed.
 
-Null texts stay null and have no candidates, empty texts neither. Texts are scanned whole; candidates can lie in one
+Null texts have no candidates, empty texts neither: redact_secrets() leaves nulls null, scan_secrets() and the query give them
+the empty text. Texts are scanned whole; candidates can lie in one
 another, what is found a secret is united to spans that don't overlap. Equal rows give equal results. A text without
 secrets is left as it is.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
+import zlib
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm.common import annotate, documents, ids_and_texts
+from palimpsest.llm.common import annotate, documents, ids_and_texts, unused
 
 LEAST_LENGTH, MARK = 16, b"[SECRET]"
 TREES, DEPTH, LEAF, CUT = 25, 10, 3, 0.5
 #: Bytes beside a candidate that its neighbouring words are taken from.
 BESIDE = 40
-#: Words of the dictionary, words that announce a secret, words that announce a harmless identifier, and words of placeholders.
-DICTIONARY = (
-    "account admin alpha application archive backup batch build bucket cache client cloud cluster code commit component config connection "
-    "content control custom data database default demo deploy design development device document domain download dummy edition element email "
-    "engine entry error event example export feature field file filter folder format forum function gateway global group handler header hello "
-    "home host http https image import index info input install instance integration interface internal item json kernel label latest layer "
-    "library license linux list local login machine mail main manager master media message meta method metric model module monitor name network "
-    "node north number object online operation option order output package page panel parameter password path performance person phone pipeline "
-    "platform player plugin point policy port portal post private process product production profile program project property provider proxy "
-    "public python query queue random record region register release remote report request resource response result role root route sample "
-    "schema score script search secret section security server service session setting shadow shared simple site south source spark staging "
-    "standard start state static status storage store stream string style support system table target task team template test text theme "
-    "thread title token tool topic transaction transfer travel trial type update upload user utility value vector version video view volume "
-    "west widget window word worker world"
-).split()
+#: Letters of a dictionary word. The words are those of a public vocabulary that follow a space.
+WORD_LETTERS = range(4, 15)
+#: Words that announce a secret, words that announce a harmless identifier, and words of placeholders.
 SECRET_WORDS = {"token", "secret", "password", "passwd", "pwd", "api", "apikey", "key", "auth", "authorization", "bearer", "credential", "credentials", "private", "access", "signature", "passphrase", "client_secret", "api_key", "access_key", "secret_key"}
 PLAIN_WORDS = {"commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "guid", "id", "hash", "revision", "rev", "version", "etag", "build", "file", "path", "url", "image", "isbn", "order", "card", "phone", "mail", "page", "track", "session", "blob", "merge", "tree"}
 PLACEHOLDERS = ("example", "your", "xxxx", "changeme", "dummy", "placeholder", "redacted", "12345678", "abcdef", "test")
@@ -64,7 +57,7 @@ match_values = [re.compile(lead + value).match for lead, value in ((_ASSIGNS, _Q
 _after_flag = re.compile(rb"[A-Za-z0-9_\-]{0,40}[ \t]+" + _BARE).match
 _leads = re.compile(rb"(?:%s|%s)[\"'`]{0,3}" % (_ASSIGNS, _SPACES)).fullmatch
 _CLOSERS = {b")": b"(", b"]": b"[", b"}": b"{"}
-_known = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
+_KINDS = bytes(ord("d" if 48 <= b <= 57 else "u" if 65 <= b <= 90 else "l" if 97 <= b <= 122 or b >= 128 else "s") for b in range(256))
 FEATURES = ("length", "digits", "capitals", "transitions", "distinct", "entropy", "hexadecimal", "covered", "segments", "dots", "dashes", "secret_before", "plain_before", "assigned", "quoted", "placeholder", "secret_after", "vowels", "announced", "symbols", "spaces", "code", "prose")
 _code = re.compile(r"^\$?[{(\[].*[})\]]$|^\$\w+$|^<.*>$|\(.*\)$|\w[\[(]|^\*+$|^(?:true|false|none|null|nil|undefined|string|str|int|bytes|bool)$").search
 _prose = re.compile(r"\b(?:the|an?|is|are|was|to|and|of|in|on|for|you|your|it|that|this|with|be|not|he|she|they|we|i)\b").findall
@@ -80,23 +73,44 @@ def _announced(before: bytes) -> bool:
     return any(_named(before, *m.span()) and _leads(before, m.end()) for m in find_names(before))
 
 
-def features(before: bytes, found: bytes, after: bytes) -> list[float]:
+@cache
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """The words of lower-case letters in a vocabulary file (by default a public one), about 18,000."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = (base64.b64decode(line.split()[0]) for line in Path(path).read_bytes().splitlines())
+    return frozenset(t[1:].decode() for t in tokens if re.fullmatch(rb" [a-z]+", t) and len(t) - 1 in WORD_LETTERS)
+
+
+def covered(low: str, words: frozenset[str]) -> int:
+    """Letters of a lower-case text that words of the dictionary cover, the longest first at each place."""
+    at = total = 0
+    while at <= len(low) - WORD_LETTERS[0]:
+        n = next((k for k in reversed(WORD_LETTERS) if low[at : at + k] in words and at + k <= len(low)), 0)
+        total, at = total + n, at + max(1, n)
+    return total
+
+
+def features(before: bytes, found: bytes, after: bytes, words: frozenset[str]) -> list[float]:
     word = found.decode("utf-8", "replace")
     low, n = word.lower(), len(word)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in word]
+    kinds = found.translate(_KINDS)
+    steps = int(np.count_nonzero(np.diff(np.frombuffer(kinds, np.uint8))))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(word).values())
     lead = before.decode("utf-8", "ignore").lower()
     near = re.findall(r"[a-z][a-z0-9_]*", lead)[-3:]
     follow = re.findall(r"[a-z][a-z0-9_]*", after.decode("utf-8", "ignore").lower())[:2]
     letters = sum(c.isalpha() for c in word)
     return [
-        n, kinds.count("d") / n, kinds.count("u") / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, len(set(word)) / n, entropy,
-        float(all(c in "0123456789abcdefABCDEF" for c in word)), sum(len(m[0]) for m in _known.finditer(low)) / n,
+        n, kinds.count(b"d") / n, kinds.count(b"u") / n, steps / n, len(set(word)) / n, entropy,
+        float(not found.translate(None, b"0123456789abcdefABCDEF")), covered(low, words) / n,
         word.count("/") + (lead[-1:] == "/") + lead[-3:].count("://"), word.count("."), word.count("-") + word.count("_"),
         float(bool(SECRET_WORDS.intersection(near))), float(bool(PLAIN_WORDS.intersection(near))),
         float(bool(re.search(r"[=:]\s*[\"'`]?$", lead))), float(lead[-1:] in ("'", '"', "`") and lead != ""), float(any(p in low for p in PLACEHOLDERS)),
         float(bool(SECRET_WORDS.intersection(follow))), sum(c in "aeiou" for c in low) / max(1, letters),
-        float(_announced(before)), kinds.count("s") / n, word.count(" "), float(bool(_code(low))), len(_prose(low)),
+        float(_announced(before)), kinds.count(b"s") / n, word.count(" "), float(bool(_code(low))), len(_prose(low)),
     ]
 
 
@@ -148,11 +162,18 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def announced_findings(n: int = 3000, seed: int = 12) -> list[tuple[bytes, bytes, bytes, int]]:
-    """Labelled findings made by rule: passwords, passphrases and keys of one case beside secret words, and what else stands there or is long."""
-    rng = random.Random(seed)
+def _half(words: frozenset[str], odd: int) -> list[str]:
+    return sorted(w for w in words if zlib.crc32(w.encode()) % 2 == odd)
+
+
+def announced_findings(n: int = 3000, seed: int = 12, odd: int = 0) -> list[tuple[bytes, bytes, bytes, int]]:
+    """Labelled findings made by rule: passwords, passphrases and keys of one case beside secret words, and what else stands there or is long.
+
+    Their words are one half of the dictionary, so findings of the other half (odd) hold words never trained on.
+    """
+    rng, words_of = random.Random(seed), _half(dictionary(), odd)
     lower, upper, digits, symbols = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!@#$%^&*?-_+.~"
-    some = lambda k: [rng.choice(DICTIONARY) for _ in range(k)]
+    some = lambda k: [rng.choice(words_of) for _ in range(k)]
     made = lambda least, most: "".join(rng.choice("bcdfghlmnprstvw") * (j % 2 == 0) or rng.choice("aeiou") for j in range(rng.randint(least, most)))
     filler = lambda: " ".join("".join(rng.choice("aeinorstlhdu") for _ in range(rng.randint(2, 9))) for _ in range(3))
     clustered = lambda: "".join(rng.choice("ber er sch ein tz ung keit ver st ach mit gen lich fahr ent eau que tion".split()) for _ in range(7)).ljust(16, "e")
@@ -165,10 +186,10 @@ def announced_findings(n: int = 3000, seed: int = 12) -> list[tuple[bytes, bytes
         quote = rng.choice(quotes)
         if i % 2:
             if kind < 0.3:
-                value = rng.choice([str.lower, str.title])(rng.choice([rng.choice(DICTIONARY), made(5, 9)])) + draw(digits, rng.randint(1, 4)) + draw(lower + upper + symbols, rng.randint(2, 8))
+                value = rng.choice([str.lower, str.title])(rng.choice([rng.choice(words_of), made(5, 9)])) + draw(digits, rng.randint(1, 4)) + (draw(lower + upper + symbols, rng.randint(2, 8)) if rng.random() < 0.6 else some(1)[0].title() + draw(symbols, rng.randint(0, 1)))
             elif kind < 0.45:
-                word = rng.choice([rng.choice(DICTIONARY), made(6, 9)]).title()
-                value = word.translate(str.maketrans("aeios", "43105")) + draw(digits, rng.randint(1, 3)) + draw(symbols, rng.randint(0, 2)) + rng.choice(["", rng.choice(DICTIONARY)]) + draw(symbols + digits, 1)
+                word = rng.choice([rng.choice(words_of), made(6, 9)]).title()
+                value = word.translate(str.maketrans("aeios", "43105")) + draw(digits, rng.randint(1, 3)) + draw(symbols, rng.randint(0, 2)) + rng.choice(["", rng.choice(words_of)]) + draw(symbols + digits, 1)
             elif kind < 0.65:
                 value = draw(lower + upper + digits + symbols, rng.randint(7, 24))
             elif kind < 0.75:
@@ -212,12 +233,12 @@ def announced_findings(n: int = 3000, seed: int = 12) -> list[tuple[bytes, bytes
     return out
 
 
-def findings(n: int = 3000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, int]]:
+def findings(n: int = 3000, seed: int = 11, odd: int = 0) -> list[tuple[bytes, bytes, bytes, int]]:
     """Labelled findings made by rule: keys of common kinds with names beside them, and harmless runs that look alike."""
-    rng = random.Random(seed)
+    rng, words_of = random.Random(seed), _half(dictionary(), odd)
     chars = {"hex": "0123456789abcdef", "base": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "digits": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
     draw = lambda kind, k: "".join(rng.choice(chars[kind]) for _ in range(k))
-    some = lambda k: [rng.choice(DICTIONARY) for _ in range(k)]
+    some = lambda k: [rng.choice(words_of) for _ in range(k)]
     filler = lambda: " ".join("".join(rng.choice("aeinorstlhdu") for _ in range(rng.randint(2, 9))) for _ in range(3))
     uuid = lambda: "-".join(draw("hex", k) for k in (8, 4, 4, 4, 12))
     out = []
@@ -252,6 +273,8 @@ def findings(n: int = 3000, seed: int = 11) -> list[tuple[bytes, bytes, bytes, i
 class Forest:
     """Random trees on bootstrap samples, each split the best of a few features by Gini impurity."""
 
+    words: frozenset[str] = frozenset()  # the dictionary that its features were made with
+
     def __init__(self, rows: np.ndarray, labels: np.ndarray, trees: int = TREES, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.trees = []
@@ -300,15 +323,18 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(labelled: list[tuple[bytes, bytes, bytes, int]] | None = None) -> Forest:
+def train(labelled: list[tuple[bytes, bytes, bytes, int]] | None = None, words: frozenset[str] | None = None) -> Forest:
     labelled = findings() + announced_findings() if labelled is None else labelled
-    return Forest(np.array([features(b, w, a) for b, w, a, _ in labelled]), np.array([float(y) for *_, y in labelled]))
+    words = dictionary() if words is None else words
+    forest = Forest(np.array([features(b, w, a, words) for b, w, a, _ in labelled]), np.array([float(y) for *_, y in labelled]))
+    forest.words = words
+    return forest
 
 
 def find_secrets(texts: list[bytes], forest: Forest) -> tuple[list[list[tuple[int, int]]], list[int]]:
     """The spans of the secrets in each text, and its number of candidates."""
     spans = [scan(t) for t in texts]
-    rows = [features(t[max(0, a - BESIDE) : a], t[a:b], t[b : b + BESIDE]) for t, found in zip(texts, spans, strict=True) for a, b in found]
+    rows = [features(t[max(0, a - BESIDE) : a], t[a:b], t[b : b + BESIDE], forest.words) for t, found in zip(texts, spans, strict=True) for a, b in found]
     kept = iter(forest.score(np.array(rows)) >= CUT) if rows else iter(())
     return [united([s for s in found if next(kept)]) for found in spans], [len(s) for s in spans]
 
@@ -341,8 +367,9 @@ def scan_secrets(df: DataFrame, forest: Forest, text_col: str = "text") -> DataF
 
 def redact_secrets(df: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with secrets marked out of the text; null texts stay null."""
-    out = annotate(df.withColumn("__text_was_null", F.col(text_col).isNull()), text_col, "redacted string", _kernel(df.sparkSession, forest), replace="redacted")
-    return out.withColumn(text_col, F.when(~F.col("__text_was_null"), F.col(text_col))).drop("__text_was_null")
+    [null] = unused(df, "text_was_null")
+    out = annotate(df.withColumn(null, F.col(text_col).isNull()), text_col, "redacted string", _kernel(df.sparkSession, forest), replace="redacted")
+    return out.withColumn(text_col, F.when(~F.col(null), F.col(text_col))).drop(null)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,6 +255,7 @@ def test_repeated_windows_go(spark, hot, monkeypatch):
     passage, line, own = sentences(rng, 50, 9999), sentences(rng, 20, 9999), lambda n: sentences(rng, n, 9999)
     texts = EDGE + [own(60) + " " + passage + " " + own(30) for _ in range(6)] + [own(40) + " " + line + " " + own(40) for _ in range(12)] + ["x y " * 60, passage, passage[:-3]]
     texts += [(doc := own(200)), doc, doc.replace("w1", "v1", 2), own(34), own(35)] + [(twice := own(40)) + " " + own(10) + " " + twice]
+    texts += [own(rng.randrange(40)) + " " + passage + " " + own(rng.randrange(40)) for _ in range(50)] + [sentences(rng, 300, 2) for _ in range(4)]
     found = by_id(substrings.remove_repeats(table(spark, texts)))
     for i, want in enumerate(brute_removed(texts)):
         assert (found[i]["n_words"], found[i]["n_removed"], found[i]["kept"]) == want
@@ -406,8 +407,9 @@ def test_slots_are_gapless(spark):
 
 
 def test_secrets_on_findings_not_trained_on():
-    held = secrets.findings(1500, seed=77)
-    scores = secrets.train().score(np.array([secrets.features(b, w, a) for b, w, a, _ in held]))
+    """Their words are of the half of the dictionary that training left out."""
+    held = secrets.findings(1500, seed=77, odd=1)
+    scores = secrets.train().score(np.array([secrets.features(b, w, a, secrets.dictionary()) for b, w, a, _ in held]))
     assert ((scores >= secrets.CUT) == np.array([y for *_, y in held])).mean() > 0.98
 
 
@@ -435,8 +437,8 @@ def test_secrets_of_any_length_and_characters_beside_secret_words():
 
 
 def test_announced_findings_not_trained_on():
-    held = secrets.announced_findings(1500, seed=78)
-    scores = secrets.train().score(np.array([secrets.features(b, w, a) for b, w, a, _ in held]))
+    held = secrets.announced_findings(1500, seed=78, odd=1)
+    scores = secrets.train().score(np.array([secrets.features(b, w, a, secrets.dictionary()) for b, w, a, _ in held]))
     assert ((scores >= secrets.CUT) == np.array([y for *_, y in held])).mean() > 0.98
 
 
@@ -456,10 +458,29 @@ def test_language_of_held_out_texts(spark):
 
 def test_filter_masks_hold_every_language_of_a_gram():
     texts = {"a": ["abc abc abc"], "b": ["abc abc abc xyz xyz xyz"]}
-    model = langid.LanguageFilter(texts, {"a": 1, "b": 1})
+    model = langid.LanguageFilter.of_texts(texts)
     for bit, lang in enumerate(model.languages):
         grams, n = np.unique(langid._grams(texts[lang])[0], return_counts=True)
-        assert (model.lookup(grams[n >= langid.LEAST_COUNT]) >> np.uint64(bit) & np.uint64(1)).all()
+        assert (model.lookup(grams[n >= langid.LEAST_COUNT])[0] >> np.uint64(bit) & np.uint64(1)).all()
+
+
+def test_more_languages_than_a_word_has_bits():
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrs"]
+    model = langid.LanguageFilter.of_texts({n: [f"{n}{n}x {n}y " * 5] for n in names})
+    assert len(names) == 90 and model.predict([f"{n}{n}x" for n in names])[0] == names
+
+
+def test_copies_teach_a_language_once(spark):
+    """A text with very many copies, drawn or not, neither thins out the other texts nor reaches the driver."""
+    rng = random.Random(19)
+    make = lambda s: " ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(12))
+    few, many = [make(["ta", "to", "ki"]) for _ in range(6)], make(["sch", "ung", "ver"])
+    copies = spark.range(0, 100_000, 1, 4).select(F.lit("aa").alias("lang"), F.lit(few[0]).alias("text"))
+    docs = copies.unionByName(spark.createDataFrame([("aa", t) for t in few[1:]] + [("bb", many)] * 3, "lang string, text string"))
+    model = langid.train(docs, rows=6)
+    alone = langid.train(docs.distinct(), rows=6)
+    assert model.languages == alone.languages == ["aa", "bb"] and (model.masks == alone.masks).all()
+    assert model.predict([make(["ta", "to", "ki"]), make(["sch", "ung", "ver"])])[0] == ["aa", "bb"]
 
 
 def test_toxicity_learns_words_and_scores_all_texts(spark):
@@ -484,10 +505,52 @@ def test_toxicity_learns_words_and_scores_all_texts(spark):
     assert net.score(texts).tolist() == [float(net.score([t])[0]) for t in texts] == [found[i]["score"] for i in range(len(texts))]
     kept = toxicity.drop_toxic(clashing(spark, [t for _, t in docs[400:]]), net)
     assert kept.columns == clashing(spark, []).columns and kept.count() == sum(found[i]["predicted"] == 0 for i in range(200))
+    assert net.languages.languages == [] and net.cuts.keys() <= {"", "und"}
     unlearned = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), label_rows.where("toxic = 1"))
     assert {(r["score"], r["predicted"]) for r in toxicity.score(table(spark, EDGE), unlearned).collect()} == {(0.0, 0)}
 
 
+def test_thresholds_are_each_language_s_own(spark):
+    """One language's harmless words lie near the other's toxic ones, so each needs its own threshold; copies teach once."""
+    rng = random.Random(12)
+    syllables = {"aa": ["ta", "to", "ki", "lo"], "bb": ["sch", "ung", "keit", "ver"]}
+    make = lambda lang: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(30))
+    docs = [(i, make(lang := "ab"[i % 2] * 2) + (" vile" if (toxic := i % 6 < 2) else ""), lang, int(toxic)) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic int")
+    net = toxicity.train(df.unionByName(df.where("doc_id = 3").crossJoin(spark.range(2000)).select(df.columns)), df.select("doc_id", "toxic"))
+    assert sorted(net.languages.languages) == ["aa", "bb"] and set(net.cuts) >= {"aa", "bb"}
+    tests = [(make(lang) + " vile" * bad, bad) for lang in syllables for bad in (0, 1) for _ in range(25)]
+    scores = net.score([t.encode() for t, _ in tests])
+    assert ((scores >= toxicity.CUT) == np.array([b for _, b in tests])).mean() > 0.95
+
+
+# names, sizes, tables without rows, and rows that repeat
+
+
+def test_columns_that_clash_with_names_used_inside(spark):
+    text = "some words of a text"
+    df = spark.createDataFrame([(1, text, 3, "x", "y", None), (2, text, 4, "x", "y", None), (3, None, 5, "x", "y", True)], "doc_id long, text string, __id int, `_ID` string, id_stays string, __text_was_null boolean")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    out = secrets.redact_secrets(df, secrets.train())
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_long_texts_keep_to_their_bounds():
+    """A pre-token of a million bytes leaves the trie as it was; a long candidate is read in passing."""
+    trie = tokencounts.ForwardTrie(tokencounts.parse_ranks(tokencounts.vocabulary()))
+    rng = random.Random(3)
+    for _ in range(5):
+        data = bytes(rng.choice(b"etaoin") for _ in range(1500))
+        assert trie.alone(data) == trie.insert(data)
+    trie.reset()
+    n = trie.count("a" * 100_000 + " b")
+    assert n[0] == 2 and n[1] > 100 and len(trie.forward) < 10
+    raw = b"key = " + b"x9Y" * 300_000
+    spans, _ = secrets.find_secrets([raw, b"no " * 10**6], secrets.train())
+    assert len(secrets.redact(raw, spans[0])) < 100 and spans[1] == []
+
+
 # tables without rows, and rows that repeat
 
 

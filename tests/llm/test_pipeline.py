@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -62,3 +63,30 @@ def test_languages_of_held_out_documents(spark):
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     rows = out.where("held_out").join(truth, "doc_id").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.95
+
+
+def test_secrets_of_the_documents(spark):
+    """Every value announced as a token goes, and no card number, address or long word does."""
+    texts = [r["text"].encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").collect()]
+    spans, _ = secrets.find_secrets(texts, secrets.train())
+    planted = [{m.span(1) for m in re.finditer(rb'token = "([^"]+)"', t)} for t in texts]
+    assert sum(map(len, planted)) > 10 and [set(s) for s in spans] == planted
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Labels of held-out rows are only read here; all languages together and each by itself."""
+    sf = "/root/testdata/sf0.1"
+    out = queries.queries()["op8_toxicity"](spark, sf).where("held_out")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = out.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").join(docs, "doc_id").collect()
+
+    def auc(found):
+        good, bad = ([r["score"] for r in found if r["toxic"] == k] for k in (0, 1))
+        return np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
+
+    assert auc(rows) > 0.97
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang]
+        if 5 < sum(r["toxic"] for r in own) < len(own):
+            assert auc(own) > 0.95, lang
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95
