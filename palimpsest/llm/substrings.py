@@ -7,8 +7,10 @@ the stretches are streamed through it for matching statistics, the longest suffi
 and the maximal spans of at least WINDOW words are removed.
 
 The shards are dealt out by their anchors, not broadcast: a window can repeat anywhere, so the whole corpus is the
-reference, and sending every shard past every document would cost the square of the corpus. Anchors with very many
-distinct stretches, such as common lines, are passed over for others in the same window.
+reference, and sending every shard past every document would cost the square of the corpus. An anchor of more than HOT
+distinct stretches, such as a common line, makes no shard of its own: its windows are dealt out one by one, each by
+anchor and hash, 128 bits together. Of one window a task sends on no more than two; what it meets after that is known
+to repeat. So no task gathers a common window either, and nothing is passed over.
 
 Null texts have no words; texts shorter than a window keep all. Repeated rows are copies of each other. Windows are
 judged on the input, so all copies of a window go. Rows are told apart by hashes of id and text, 128 bits together.
@@ -22,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from palimpsest.llm.common import column_bytes, documents, ids_and_texts, schema_of, settled, slices
+from palimpsest.llm.common import column_bytes, documents, ids_and_texts, settled, slices
 
 WINDOW, GRAM = 35, 6
-#: Distinct stretches beyond which an anchor is passed over, if they are also over 1 in HOT_SHARE of all; so at most HOT_SHARE anchors are.
-HOT, HOT_SHARE, ROUNDS = 2000, 5000, 4
+#: Distinct stretches beyond which an anchor's windows are dealt out one by one, and windows that a task remembers.
+HOT, REMEMBERED = 500, 500_000
 _PLACE = 30
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -48,7 +51,7 @@ def _pairs(h: np.ndarray, gap: int) -> np.ndarray:
 class Stretches:
     """The stretches of some texts: text, first and last window, anchor, and a hash of the words from first to last."""
 
-    def __init__(self, texts: list[bytes], hot: np.ndarray):
+    def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
         n = np.array([len(w) for w in self.words], np.int64)
         flat = np.fromiter((h for w in self.words for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, int(n.sum()))
@@ -61,10 +64,8 @@ class Stretches:
         two = _pairs(flat, 1)
         four = _pairs(two, 2)
         gram = _pairs(four, GRAM - 4)
-        window = _pairs(_pairs(_pairs(_pairs(four, 4), 8), 16), WINDOW - 32)
+        self.window = window = _pairs(_pairs(_pairs(_pairs(four, 4), 8), 16), WINDOW - 32)
         rank = gram >> np.uint64(31) << np.uint64(_PLACE) | np.arange(len(gram), dtype=np.uint64)
-        if len(hot):
-            rank |= np.isin(gram, hot).astype(np.uint64) << np.uint64(63)
         least, span = rank, 1
         while span * 2 <= WINDOW - GRAM + 1:
             least = np.minimum(least[:-span], least[span:])
@@ -89,15 +90,17 @@ class Stretches:
         return slice(int(self.bounds[text]), int(self.bounds[text + 1])) if len(self.text) else slice(0, 0)
 
 
-def repeated_spans(strings: list[list[bytes]], copies: list[int], least: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """For each string its maximal spans of at least `least` words in which every window of that length occurs again in the strings or their copies."""
-    if len(strings) == 1 and copies[0] > 1:
-        return [[(0, len(strings[0]))] if len(strings[0]) >= least else []]
-    following: list[dict[bytes, int]] = [{}]
-    link, length, count = [-1], [0], [0]
-    ends: list[list[int]] = []
-    for words, n in zip(strings, copies, strict=True):
-        last, places = 0, []
+class SuffixAutomaton:
+    """Of the strings of one reference shard; each state knows how often what it stands for occurs, copies included."""
+
+    def __init__(self):
+        self.following: list[dict[bytes, int]] = [{}]
+        self.link, self.length, self.count = [-1], [0], [0]
+        self.again: list[int] = []
+
+    def add(self, words: list[bytes], copies: int) -> None:
+        following, link, length, count = self.following, self.link, self.length, self.count
+        last = 0
         for word in words:
             known = following[last].get(word)
             if known is not None and length[known] == length[last] + 1:
@@ -134,20 +137,45 @@ def repeated_spans(strings: list[list[bytes]], copies: list[int], least: int = W
                             link[state] = clone
                         else:
                             last = clone
-            count[last] += n
-            places.append(last)
-        ends.append(places)
-    order = np.argsort(length, kind="stable").tolist()
-    for state in reversed(order[1:]):
-        count[link[state]] += count[state]
-    again = [0] * len(length)  # the longest suffix of a state's strings that occurs at least twice
-    for state in order[1:]:
-        again[state] = length[state] if count[state] > 1 else again[link[state]]
+            count[last] += copies
+
+    def sum_up(self) -> None:
+        """After the last string: counts of suffixes, and the longest suffix of each state that occurs at least twice."""
+        order = np.argsort(self.length, kind="stable").tolist()
+        for state in reversed(order[1:]):
+            self.count[self.link[state]] += self.count[state]
+        self.again = [0] * len(self.length)
+        for state in order[1:]:
+            self.again[state] = self.length[state] if self.count[state] > 1 else self.again[self.link[state]]
+
+    def matching(self, words: list[bytes]) -> Iterator[int]:
+        """Streams any string: at each of its words the longest suffix so far that occurs at least twice in the shard."""
+        following, link, length, again = self.following, self.link, self.length, self.again
+        state = size = 0
+        for word in words:
+            while state and word not in following[state]:
+                state = link[state]
+                size = length[state]
+            if (after := following[state].get(word)) is None:
+                size = 0
+            else:
+                state, size = after, size + 1
+            yield min(size, again[state])
+
+
+def repeated_spans(strings: list[list[bytes]], copies: list[int], least: int = WINDOW) -> list[list[tuple[int, int]]]:
+    """For each string its maximal spans of at least `least` words in which every window of that length occurs again in the strings or their copies."""
+    if len(strings) == 1 and copies[0] > 1:  # all of it occurs again
+        return [[(0, len(strings[0]))] if len(strings[0]) >= least else []]
+    shard = SuffixAutomaton()
+    for words, n in zip(strings, copies, strict=True):
+        shard.add(words, n)
+    shard.sum_up()
     out = []
-    for places in ends:
+    for words in strings:
         spans: list[tuple[int, int]] = []
-        for end, state in enumerate(places, 1):
-            if (common := again[state]) >= least:
+        for end, common in enumerate(shard.matching(words), 1):
+            if common >= least:
                 start = end - common
                 if spans and start <= spans[-1][1]:
                     spans[-1] = (min(start, spans[-1][0]), end)
@@ -157,22 +185,22 @@ def repeated_spans(strings: list[list[bytes]], copies: list[int], least: int = W
     return out
 
 
-def _arrow(run, df: DataFrame, ddl: str) -> DataFrame:
-    return df.mapInArrow(run, schema_of(ddl))
+def _arrow(run, df: DataFrame, schema: str | pa.Schema) -> DataFrame:
+    return df.mapInArrow(run, schema if isinstance(schema, str) else from_arrow_schema(schema))
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def _anchored(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+def _anchored(rows: DataFrame) -> DataFrame:
     """row, place, anchor and hash of every stretch; row is a number for each row that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column_bytes(batch, "text")
             for a, b in slices(texts):
-                found = Stretches(texts[a:b], hot)
+                found = Stretches(texts[a:b])
                 if len(found.text):
                     full = np.flatnonzero(np.diff(found.bounds))
                     bounds = np.append(found.bounds[full], found.bounds[-1])
@@ -194,74 +222,107 @@ def _candidates(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, distinct
 
 
-def _hot_anchors(distinct: DataFrame) -> np.ndarray:
-    limit = max(HOT, distinct.count() // HOT_SHARE)
-    rows = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()  # at most HOT_SHARE
-    return np.array([r["anchor"] for r in rows], np.int64).view(np.uint64)
+#: A stretch's words (part 0), or where a window of it starts and stops (part: the window's hash; known to repeat or not).
+PIECE = pa.schema({"anchor": pa.int64(), "part": pa.int64(), "hash": pa.int64(), "copies": pa.int64(), "words": pa.binary(), "start": pa.int32(), "stop": pa.int32(), "known": pa.bool_()})
+JUDGED = pa.schema({"anchor": pa.int64(), "hash": pa.int64(), "spans": pa.list_(pa.int32())})
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of the distinct stretches wanted, from the text of each one's owner."""
+    seen: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        texts, lists = column_bytes(batch, "text"), batch.column(batch.schema.names.index("wanted")).to_pylist()
+        for a, b in slices(texts):
+            stretches = Stretches(texts[a:b])
+            out: list[tuple] = []
+            for i, wants in enumerate(lists[a:b]):
+                own = stretches.of(i)
+                first, last = stretches.first[own], stretches.last[own]
+                for w in wants:
+                    begin, end = int(first[w["place"]]), int(last[w["place"]]) + 1
+                    if not w["hot"]:
+                        out.append((w["anchor"], 0, w["hash"], w["copies"], b" ".join(stretches.words[i][begin : end - 1 + WINDOW]), None, None, None))
+                        continue
+                    hashes = stretches.window[stretches.starts[i] + begin : stretches.starts[i] + end].view(np.int64).tolist()
+                    out += [(w["anchor"], part, w["hash"], w["copies"], None, start, stop, known) for part, start, stop, known in _windows(w, hashes, seen)]
+            if out:
+                yield _batch(out, PIECE)
+
+
+def _windows(want: dict, hashes: list[int], seen: dict[tuple[int, int], int]) -> Iterator[tuple[int, int, int, bool]]:
+    """part, start, stop and known of a stretch's windows; those this task has met twice join to runs known to repeat."""
+    run = None
+    for at, window in enumerate(hashes):
+        key = want["anchor"], window
+        met = seen.get(key, 0)
+        if met >= 2:
+            run = (run[0] if run else at, at + WINDOW)
+            continue
+        if len(seen) >= REMEMBERED:
+            seen.clear()  # more windows are sent on, no answer changes
+        seen[key] = met + 1
+        if run:
+            yield want["hash"], *run, True
+        run = None
+        yield window, at, at + WINDOW, False
+    if run:
+        yield want["hash"], *run, True
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans that repeat in each stretch: whole shards by their automata, windows by whether there is another."""
+    out: list[tuple] = []
+    shard: dict[int, tuple[int, bytes]] = {}
+    at = alone = None
+
+    def answer() -> list[tuple]:
+        spans = repeated_spans([w.split() for _, w in shard.values()], [c for c, _ in shard.values()])
+        return [(at[0], h, [x for pair in s for x in pair]) for h, s in zip(shard, spans, strict=True) if s]
+
+    for batch in batches:
+        for anchor, part, hashed, copies, words, start, stop, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (anchor, part) != at:
+                out += answer() if shard else []
+                at, shard, alone = (anchor, part), {}, None
+                more = False
+            if words is not None:
+                shard[hashed] = (copies, words)
+            elif known or more or copies > 1 or alone:
+                out.append((anchor, hashed, [start, stop]))
+                if not known:
+                    more = True
+                    out += [alone] if alone else []
+                    alone = None
+            else:
+                alone = (anchor, hashed, [start, stop])
+        if len(out) > 1000:
+            yield _batch(out, JUDGED)
+            out = []
+    out += answer() if shard else []
+    yield _batch(out, JUDGED)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words left joined by single spaces, for every row."""
     rows = ids_and_texts(df, id_col, text_col).withColumns({"k1": F.xxhash64("doc_id"), "k2": F.xxhash64("text")})
-    hot = np.empty(0, np.uint64)
-    for _ in range(ROUNDS):
-        numbered = _anchored(rows, hot)
-        found, distinct = _candidates(numbered)
-        more = np.setdiff1d(_hot_anchors(distinct), hot)
-        if not len(more):
-            break
-        hot = np.union1d(hot, more)
+    numbered = _anchored(rows)
+    found, distinct = _candidates(numbered)
+    crowded = settled(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"))
+    if crowded.isEmpty():
+        distinct = distinct.withColumn("hot", F.lit(False))
     else:
-        numbered = _anchored(rows, hot)
-        found, distinct = _candidates(numbered)
+        distinct = distinct.join(crowded.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     names = numbered.select("row", "k1", "k2")
-    owned = distinct.groupBy(F.col("owner.row").alias("row")).agg(F.sort_array(F.collect_list(F.struct(F.col("owner.place").alias("place"), "anchor", "hash", "copies"))).alias("wanted"))
+    owned = distinct.groupBy(F.col("owner.row").alias("row")).agg(F.sort_array(F.collect_list(F.struct(F.col("owner.place").alias("place"), "anchor", "hash", "copies", "hot"))).alias("wanted"))
     wanted = owned.join(names, "row").select("k1", "k2", "wanted")
     dealt = rows.repartition("k1", "k2")  # used twice in one plan, shuffled once
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists = column_bytes(batch, "text"), batch.column(batch.schema.names.index("wanted")).to_pylist()
-            for a, b in slices(texts):
-                stretches = Stretches(texts[a:b], hot)
-                out: list[tuple] = []
-                for i, wants in enumerate(lists[a:b]):
-                    own = stretches.of(i)
-                    first, last = stretches.first[own], stretches.last[own]
-                    out += [(w["anchor"], w["hash"], w["copies"], b" ".join(stretches.words[i][first[w["place"]] : last[w["place"]] + WINDOW])) for w in wants]
-                if out:
-                    anchor, hashed, copies, words = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(hashed, pa.int64()), pa.array(copies, pa.int64()), pa.array(words, pa.binary())], names=["anchor", "hash", "copies", "words"])
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, {}
-
-        def answer():
-            spans = repeated_spans([w.split() for _, w in group.values()], [c for c, _ in group.values()])
-            hits = [(h, s) for h, s in zip(group, spans, strict=True) if s]
-            return [at] * len(hits), [h for h, _ in hits], [[x for pair in s for x in pair] for _, s in hits]
-
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        batch_of = lambda parts: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(parts, kinds, strict=True)], names=["anchor", "hash", "spans"])
-        out: list[list] = [[], [], []]
-        for batch in batches:
-            for anchor, hashed, copies, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != at:
-                    if group:
-                        for have, more in zip(out, answer(), strict=True):
-                            have += more
-                    at, group = anchor, {}
-                group[hashed] = (copies, words)
-            if len(out[0]) > 1000:
-                yield batch_of(out)
-                out = [[], [], []]
-        if group:
-            for have, more in zip(out, answer(), strict=True):
-                have += more
-        yield batch_of(out)
-
-    pieces = _arrow(cut_out, dealt.join(wanted, ["k1", "k2"]), "anchor long, hash long, copies long, words binary").repartition("anchor").sortWithinPartitions("anchor")
-    judged = _arrow(shard, pieces, "anchor long, hash long, spans array<int>")
+    pieces = _arrow(_cut_out, dealt.join(wanted, ["k1", "k2"]), PIECE).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    judged = _arrow(_judge, pieces, JUDGED)
     hits = found.join(judged, ["anchor", "hash"]).select("row", F.struct("place", "spans").alias("hit"))
     told = hits.join(names, "row").groupBy("k1", "k2").agg(F.collect_set("hit").alias("hits"))
 
@@ -271,7 +332,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = batch.column(batch.schema.names.index("doc_id"))
             for a, b in slices(texts):
                 marked = [i for i in range(a, b) if lists[i]]
-                stretches = Stretches([texts[i] for i in marked], hot)
+                stretches = Stretches([texts[i] for i in marked])
                 number = {i: k for k, i in enumerate(marked)}
                 n_words, n_removed, kept = [], [], []
                 for i in range(a, b):
