@@ -1,45 +1,67 @@
-"""Content-defined chunking after the FastCDC paper: a gear hash, with a stricter mask before the normal size and a looser one after.
-
-The gear table comes from a rule (SHA-256 of the byte), so boundaries are this library's own.
+"""Content-defined chunking as FastCDC's 2020 paper has it: a gear hash that takes two bytes a step, and a mask of more bits
+before the normal size than after it (normalisation level 1).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.session import send_package
 
 LEAST, NORMAL, MOST = 256 << 10, 2 << 20, 16 << 20
-_GEAR = [int.from_bytes(hashlib.sha256(b"gear" + bytes([b])).digest()[:8], "big") for b in range(256)]
+#: The ranges that the least, normal and largest sizes may be in.
+RANGES = ((64, 1 << 20), (256, 4 << 20), (1024, 16 << 20))
+#: The gear table's rule: the first eight bytes of the MD5 of 64 times the byte.
+_GEAR = [int.from_bytes(hashlib.md5(bytes([b]) * 64, usedforsecurity=False).digest()[:8], "big") for b in range(256)]
 _ALL = (1 << 64) - 1
+_TWICE = [x << 1 & _ALL for x in _GEAR]
+#: The published masks of 5 to 25 bits.
+MASKS = (
+    0x0000000001804110, 0x0000000001803110, 0x0000000018035100, 0x0000001800035300, 0x0000019000353000, 0x0000590003530000, 0x0000D90003530000,
+    0x0000D90103530000, 0x0000D90303530000, 0x0000D90313530000, 0x0000D90F03530000, 0x0000D90303537000, 0x0000D90703537000, 0x0000D90707537000,
+    0x0000D91707537000, 0x0000D91747537000, 0x0000D91767537000, 0x0000D93767537000, 0x0000D93777537000, 0x0000D93777577000, 0x0000DB3777577000,
+)
+
+
+def sizes_fit(least: Column, normal: Column, most: Column) -> Column:
+    """Whether sizes are even, each in its range, and in order; false where one is null."""
+    each = [(n >= low) & (n <= high) & (n % 2 == 0) for n, (low, high) in zip((least, normal, most), RANGES, strict=True)]
+    return F.coalesce(each[0] & each[1] & each[2] & (least <= normal) & (normal <= most), F.lit(False))
 
 
 def check_sizes(least: int, normal: int, most: int) -> None:
-    """Sizes are even, in order, and within 64 bytes and 1 GiB."""
-    if not 64 <= least <= normal <= most <= 1 << 30 or least % 2 or normal % 2 or most % 2:
+    """The same for one set of sizes, as an error."""
+    if not least <= normal <= most or any(not low <= n <= high or n % 2 for n, (low, high) in zip((least, normal, most), RANGES, strict=True)):
         raise ValueError(f"bad chunk sizes {least}, {normal}, {most}")
 
 
 def _masks(normal: int) -> tuple[int, int]:
-    bits = normal.bit_length() - 1
-    return ((1 << bits + 1) - 1) << 64 - bits - 1, ((1 << bits - 1) - 1) << 64 - bits + 1
+    """The masks before and after the normal size: one bit more and one bit less than its logarithm, rounded."""
+    bits = round(math.log2(normal))
+    return MASKS[bits + 1 - 5], MASKS[bits - 1 - 5]
 
 
 def first_cut(data: memoryview | bytes, least: int, normal: int, most: int, strict: int, loose: int) -> int:
     """The length of the first chunk of data that goes on long enough or ends here."""
-    n = min(len(data), most)
-    if n <= least:
-        return n
-    value = 0
-    for i in range(least, n):
-        value = (value << 1) + _GEAR[data[i]] & _ALL
-        if not value & (strict if i < normal else loose):
-            return i + 1
-    return n
+    size = min(len(data), most)
+    if size <= least:
+        return size
+    middle, value = min(normal, size), 0
+    for mask, begin, end in ((strict, least // 2, middle // 2), (loose, middle // 2, size // 2)):
+        shifted = mask << 1 & _ALL
+        for i in range(begin, end):
+            value = (value << 2) + _TWICE[data[2 * i]] & _ALL
+            if not value & shifted:
+                return 2 * i
+            value = value + _GEAR[data[2 * i + 1]] & _ALL
+            if not value & mask:
+                return 2 * i + 1
+    return size
 
 
 def chunks(data: bytes, least: int = LEAST, normal: int = NORMAL, most: int = MOST) -> list[bytes]:

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import heapq
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from palimpsest.operators.order import pass_over
+from palimpsest.session import send_package
 
 #: Content up to this many bytes may be held in a descriptor.
 INLINE_BYTES = 4096
@@ -64,11 +71,31 @@ def set_size(content: Column, size: Column) -> Column:
     return F.when(F.octet_length(content) >= size, F.substring(content, F.lit(1), size.cast("int"))).otherwise(F.rpad(content, size.cast("int"), F.lit(b"\x00")))
 
 
+@F.pandas_udf(T.BinaryType())
+def _edited(content: pd.Series, edits: pd.Series) -> pd.Series:
+    out = []
+    for base, own in zip(content, edits, strict=True):
+        if base is None or own is None:
+            out.append(base)
+            continue
+        buffer = bytearray(base)
+        for edit in own:
+            at, data = int(edit["off"]), edit["data"]
+            buffer.extend(bytes(max(0, at - len(buffer))))
+            buffer[at : at + len(data)] = data
+        out.append(bytes(buffer))
+    return pd.Series(out, dtype=object)
+
+
 def apply_edits(content: DataFrame, edits: DataFrame) -> DataFrame:
-    """content (doc_id, bytes) after its edits (doc_id, ord, off, data: binary) in order, later ones winning."""
+    """content (doc_id, bytes) after its edits (doc_id, ord, off, data: binary) in order, later ones winning.
+
+    Each document is copied once, whatever its edits; null content stays null.
+    """
+    send_package(content.sparkSession)
     lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "off", "data"))).alias("edits"))
     rows = content.join(lists, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("edits").isNull(), F.col("bytes")).otherwise(F.aggregate("edits", F.col("bytes"), lambda c, e: write_at(c, e["off"], e["data"]))).alias("bytes"))
+    return rows.select("doc_id", F.when(F.col("edits").isNull(), F.col("bytes")).otherwise(_edited("bytes", "edits")).alias("bytes"))
 
 
 def default_size(content: DataFrame, edits: DataFrame) -> DataFrame:
@@ -111,14 +138,42 @@ def blocks_of(asked: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
 def overlay_extents(extents: DataFrame) -> DataFrame:
     """What shows of each key's extents (key, ord, start, stop) where later ones lie over earlier ones.
 
-    Each extent is cut at the bounds inside it; of the extents on a cut the last shows. Touching cuts of one extent join.
+    One pass over a key's extents by start, with a heap of those not yet passed, the last on top: n log n for n extents,
+    and only those that overlap one place are held. Touching parts of one ord join; empty extents show nowhere.
     """
-    edges = extents.select("key", F.col("start").alias("at")).unionAll(extents.select("key", "stop")).distinct()
-    cuts = edges.withColumn("next", F.lead("at").over(Window.partitionBy("key").orderBy("at"))).where("next is not null")
-    shown = cuts.join(extents, "key").where((F.col("start") <= F.col("at")) & (F.col("stop") >= F.col("next"))).groupBy("key", "at", "next").agg(F.max("ord").alias("ord"))
-    w = Window.partitionBy("key").orderBy("at")
-    new = F.when((F.lag("next").over(w) == F.col("at")) & (F.lag("ord").over(w) == F.col("ord")), 0).otherwise(1)
-    return shown.withColumn("run", new).withColumn("run", F.sum("run").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("at").alias("start"), F.max("next").alias("stop"), F.max("ord").alias("ord")).drop("run")
+    rows = extents.select("key", "ord", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).where("start < stop")
+    ends = rows.select("key").distinct().select("key", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), F.lit((1 << 63) - 1).alias("start"), F.lit(None).cast("long").alias("stop"))
+    schema = rows.select("key", "start", "stop", "ord").schema
+
+    def begin() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        heap: list[tuple[int, int]] = []
+        at, shown = 0, None
+
+        def step(found: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at, shown
+            out: list[tuple[int, int, int]] = []
+            for order, start, stop in zip(found["ord"], found["start"], found["stop"], strict=True):
+                while heap and at < start:
+                    if heap[0][1] <= at:
+                        heapq.heappop(heap)
+                        continue
+                    until = min(heap[0][1], start)
+                    if shown and shown[2] == -heap[0][0] and shown[1] == at:
+                        shown = (shown[0], until, shown[2])
+                    else:
+                        out += [shown] if shown else []
+                        shown = (at, until, -heap[0][0])
+                    at = until
+                at = max(at, start)
+                if pd.isna(stop):
+                    out += [shown] if shown else []
+                else:
+                    heapq.heappush(heap, (-int(order), int(stop)))
+            return pd.DataFrame({"key": found["key"].iloc[0], "start": [a for a, _, _ in out], "stop": [b for _, b, _ in out], "ord": [o for _, _, o in out]})
+
+        return step
+
+    return pass_over(rows.unionByName(ends), "key", ["start"], schema, begin)
 
 
 def dedup(refs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from palimpsest.operators.tree import chain
+from palimpsest.session import kept
+
+#: A chain of bases of more than 2 to this many entries is taken for a cycle.
+LONGEST_BITS = 40
 
 
 def batch_status(entries: DataFrame) -> DataFrame:
@@ -27,20 +30,27 @@ def distinct_keys(entries: DataFrame, state: str) -> DataFrame:
 
 
 def depends(entries: DataFrame) -> DataFrame:
-    """earlier, later: entries of a drive of which the later has to wait, as they touch one name or one is in the other's folder.
+    """earlier, later: links that say which entries of a drive have to wait for which, directly or by way of others.
 
-    Equal names meet in an equi-join on the name without its slash; a folder meets what is in it by a join on every
-    folder above a key. No pairs of a drive are listed.
+    Entries that touch one name wait for each other in order, so each is linked to the one of that name before it. What
+    is in a folder is linked to the last entry that touches the folder before it, and to the next after it. So links are
+    as many as entries times the depth of their keys, however often a name or folder occurs.
     """
-    plain = F.regexp_replace("key", "/$", "")
-    rows = entries.select("id", "drive", "key", plain.alias("plain"))
-    a, b = rows.withColumnsRenamed({"id": "earlier", "key": "ka"}), rows.withColumnsRenamed({"id": "later", "key": "kb"})
-    same = a.join(b, ["drive", "plain"]).where("earlier < later").select("earlier", "later")
+    rows = entries.select("id", "drive", "key", F.regexp_replace("key", "/$", "").alias("plain"))
+    previous = F.lag("id").over(Window.partitionBy("drive", "plain").orderBy("id"))
+    same = rows.select(previous.alias("earlier"), F.col("id").alias("later")).where("earlier is not null")
     parts = F.split("plain", "/")
-    above = rows.where(F.size(parts) > 1).select("id", "drive", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "/"), F.lit("/")))).alias("folder"))
-    folders = rows.where(F.col("key").endswith("/")).select(F.col("id").alias("other"), "drive", F.col("key").alias("folder"))
-    inside = above.join(folders, ["drive", "folder"]).where("id <> other").select(F.least("id", "other").alias("earlier"), F.greatest("id", "other").alias("later"))
-    return same.unionByName(inside).distinct()
+    folder = lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "/"), F.lit("/"))
+    above = rows.where(F.size(parts) > 1).select("id", "drive", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), folder)).alias("folder"), F.lit(False).alias("whole"))
+    folders = rows.where(F.col("key").endswith("/")).select("id", "drive", F.col("key").alias("folder"), F.lit(True).alias("whole"))
+    both = above.join(folders.select("drive", "folder").distinct(), ["drive", "folder"], "left_semi").unionByName(folders)
+    w, whole = Window.partitionBy("drive", "folder").orderBy("id"), F.when(F.col("whole"), F.col("id"))
+    last = F.last(whole, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.first(whole, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    inside = both.withColumns({"last": last, "following": following}).where("not whole")
+    before = inside.select(F.col("last").alias("earlier"), F.col("id").alias("later")).where("earlier is not null")
+    after = inside.select(F.col("id").alias("earlier"), F.col("following").alias("later")).where("later is not null")
+    return same.unionByName(before).unionByName(after).distinct()
 
 
 def merged_names(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -53,16 +63,37 @@ def unsaved(local: DataFrame, remote: DataFrame, inodes: DataFrame) -> DataFrame
 
 
 def first_blocked(entries: DataFrame) -> DataFrame:
-    """For each entry with a failed or cancelled entry on its chain of bases, the nearest such."""
-    stopped = entries.where("state in ('failed', 'cancelled')").select(F.col("id").alias("ancestor"))
-    return chain(entries, "id", "base").join(stopped, "ancestor", "left_semi").groupBy("node").agg(F.min_by("ancestor", "distance").alias("blocked_by"))
+    """For each entry with a failed or cancelled entry on its chain of bases, itself included, the nearest such.
+
+    Each entry knows the nearest on a stretch of its chain and where that stretch ends; each round takes on the next
+    stretch, so a chain of n entries takes log2(n) joins. A base that is nowhere ends a chain.
+    """
+    own = F.when(F.col("state").isin("failed", "cancelled"), F.col("id"))
+    rows = kept(entries.select(F.col("id").alias("node"), F.col("base").alias("after"), own.alias("blocked_by")))
+    for _ in range(LONGEST_BITS):
+        open_ = rows.where("blocked_by is null and after is not null")
+        if open_.isEmpty():
+            return rows.where("blocked_by is not null").select("node", "blocked_by")
+        further = rows.select(F.col("node").alias("after"), F.col("after").alias("next"), F.col("blocked_by").alias("found"))
+        longer = open_.join(further, "after").select("node", F.col("next").alias("after"), F.col("found").alias("blocked_by"))
+        rows = kept(rows.where("blocked_by is not null or after is null").unionByName(longer))
+    raise ValueError("bases form a cycle")
 
 
 def unneeded(entries: DataFrame) -> DataFrame:
-    """Finished entries that no unfinished entry stands on."""
-    open_ = entries.where("state not in ('done', 'cancelled')").select(F.col("id").alias("node"))
-    needed = chain(entries, "id", "base").join(open_, "node", "left_semi").select(F.col("ancestor").alias("id")).distinct()
-    return entries.join(needed, "id", "left_anti").select("id")
+    """Finished entries that no unfinished entry stands on.
+
+    In round k what is needed reaches 2 to the k bases further, by links that double in length, so a chain of n entries
+    takes log2(n) rounds.
+    """
+    needed = kept(entries.where("state not in ('done', 'cancelled')").select("id").distinct())
+    links = kept(entries.where("base is not null").select("id", "base"))
+    for _ in range(LONGEST_BITS):
+        if links.isEmpty():
+            return entries.join(needed, "id", "left_anti").select("id")
+        needed = kept(needed.unionByName(links.join(needed, "id", "left_semi").select(F.col("base").alias("id"))).distinct())
+        links = kept(links.join(links.select(F.col("id").alias("base"), F.col("base").alias("next")), "base").select("id", F.col("next").alias("base")))
+    raise ValueError("bases form a cycle")
 
 
 def fold(entries: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.operators.order import quantiles, running
+
 #: Upper bounds, in milliseconds, of histogram buckets; a last one has no bound.
 BUCKETS = (1.0, 5.0, 25.0, 100.0, 500.0)
 MIB = 1048576.0
@@ -11,16 +13,22 @@ MIB = 1048576.0
 
 def round_stats(samples: DataFrame, bytes_per_op: int = 1048576) -> DataFrame:
     """Operations, quantiles with linear interpolation, mean, extremes and throughput of each round."""
-    q = lambda p: F.round(F.percentile("latency", F.lit(p)), 6)
-    return samples.groupBy("scenario", "target", "round").agg(
-        F.count("*").alias("ops"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.round(F.avg("latency"), 6).alias("mean"), F.min("latency").alias("least"), F.max("latency").alias("most"),
+    key = ["scenario", "target", "round"]
+    ranks = quantiles(samples, key, "latency", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    sums = samples.groupBy(*key).agg(
+        F.count("*").alias("ops"), F.round(F.avg("latency"), 6).alias("mean"), F.min("latency").alias("least"), F.max("latency").alias("most"),
         F.round(F.count("*") * bytes_per_op / MIB / (F.sum("latency") / 1000), 6).alias("mib_s"))
+    return sums.join(ranks, key).select(*key, "ops", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p99")], "mean", "least", "most", "mib_s")
+
+
+def quantile(samples: DataFrame, share: float, name: str) -> DataFrame:
+    return quantiles(samples, ["scenario"], "latency", {name: share}).select("scenario", F.round(name, 6).alias(name))
 
 
 def median_of_rounds(samples: DataFrame) -> DataFrame:
     """The median of the rounds' medians."""
-    rounds = samples.groupBy("scenario", "target", "round").agg(F.percentile("latency", F.lit(0.5)).alias("p50"))
-    return rounds.groupBy("scenario", "target").agg(F.round(F.percentile("p50", F.lit(0.5)), 6).alias("p50"))
+    rounds = quantiles(samples, ["scenario", "target", "round"], "latency", {"p50": 0.5})
+    return quantiles(rounds, ["scenario", "target"], "p50", {"median": 0.5}).select("scenario", "target", F.round("median", 6).alias("p50"))
 
 
 def speedup(samples: DataFrame) -> DataFrame:
@@ -41,6 +49,10 @@ def histogram(samples: DataFrame) -> DataFrame:
 
 
 def decayed(tally: DataFrame, factor: float = 0.875) -> DataFrame:
-    """A tally that halves old entries' weight bit by bit. tally: key, ord, x; folded in order."""
-    rows = tally.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "x"))).alias("xs"))
-    return rows.select("key", F.round(F.aggregate("xs", F.lit(0.0), lambda total, e: total * factor + e["x"].cast("double")), 6).alias("tally"))
+    """A tally that takes `factor` of what it holds before each new entry. tally: key, ord, x; folded in order.
+
+    An entry with k after it counts x times factor to the power of k, so the fold is a plain sum once the entries are
+    numbered from the last.
+    """
+    after = running(tally.select("key", "ord", "x"), ["key"], ["ord"], {"n": F.lit(1)}, descending=("ord",))
+    return after.groupBy("key").agg(F.round(F.sum(F.col("x").cast("double") * F.pow(F.lit(factor), F.col("n") - 1)), 6).alias("tally"))

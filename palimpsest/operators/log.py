@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.operators.order import number_all, pass_over
-from palimpsest.session import send_package
+from palimpsest.operators.order import pass_over, running
+from palimpsest.session import kept
 
 BATCH_TXNS, BATCH_BYTES = 256, 1 << 20
 CHECKPOINT_COMMITS, CHECKPOINT_BYTES = 1000, 16 << 20
@@ -18,8 +18,9 @@ LEAF_MIN, LEAF_MAX, LEAF_BITS = 256, 1024, 9
 
 def group_commits(txns: DataFrame, key: str, limit: int = BATCH_TXNS) -> DataFrame:
     """Transactions of each drive in their order, at most `limit` to a commit."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy("seq", "idx")) - 1
-    return txns.withColumns({"commit": F.floor(place / limit) + 1, "place": F.pmod(place, F.lit(limit))})
+    placed = running(txns, [key], ["seq", "idx"], {"place": F.lit(1)})
+    place = F.col("place") - 1
+    return placed.withColumns({"commit": F.floor(place / limit) + 1, "place": F.pmod(place, F.lit(limit))})
 
 
 def group_by_bytes(txns: DataFrame, key: str, size: str, limit: int = BATCH_BYTES, most: int = BATCH_TXNS) -> DataFrame:
@@ -57,32 +58,50 @@ def segments(rows: DataFrame, table: str, key: str) -> DataFrame:
     """Content-defined cuts of each table's sorted rows: table, key, segment.
 
     A segment ends after a row with CUT_BITS low zeros once it is long enough; at its longest it ends after its last
-    row with FALLBACK_BITS. Each cut depends on the one before, so a table is one ordered pass over its rows with zeros
-    enough, one in 1,024; all rows are numbered by ranges and then find their segment by their place.
+    row with FALLBACK_BITS. Each cut depends on the one before, so a table's cuts come from one ordered pass over its
+    rows with zeros enough, one in 1,024, batch by batch. All rows are numbered by ranges and find their segment by the
+    block of SEGMENT_MIN places they are in, which no more than two segments share.
     """
-    numbered = number_all(rows.select(table, key), [table, key])
-    begins = numbered.groupBy(table).agg((F.min("place") - 1).alias("__begin"))
-    ordered = numbered.join(begins, table).select(table, key, (F.col("place") - F.col("__begin")).alias("place"), low_zeros(F.col(key)).alias("zeros"))
-    marks = ordered.where(F.col("zeros") >= FALLBACK_BITS).select(table, "place", "zeros").unionByName(ordered.groupBy(table).agg(F.max("place").alias("place")).withColumn("zeros", F.lit(-1)))
-
-    def ends(found: pd.DataFrame) -> pd.DataFrame:
-        last = int(found.loc[found["zeros"] < 0, "place"].max())
-        places = sorted(zip(found["place"], found["zeros"], strict=True))
-        start, out = 0, []
-        while start < last:
-            inside = [(p, z) for p, z in places if start + SEGMENT_MIN <= p <= start + SEGMENT_MAX and z >= 0]
-            cut = next((p for p, z in inside if z >= CUT_BITS), None)
-            if cut is None and last >= start + SEGMENT_MAX:
-                cut = max((p for p, _ in inside), default=start + SEGMENT_MAX)
-            cut = last if cut is None else cut
-            out.append((start, cut))
-            start = cut
-        return pd.DataFrame({table: found[table].iloc[0], "low": [a for a, _ in out], "high": [b for _, b in out], "segment": range(len(out))})
-
-    schema = rows.select(table, F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("segment")).schema
-    send_package(rows.sparkSession)
-    cuts = marks.groupBy(table).applyInPandas(ends, schema)
-    return ordered.join(cuts, table).where((F.col("place") > F.col("low")) & (F.col("place") <= F.col("high"))).select(table, key, "segment")
+    placed = running(rows.select(table, key), [table], [key], {"place": F.lit(1)}).withColumn("zeros", low_zeros(F.col(key)))
+    last = placed.groupBy(table).agg(F.max("place").alias("place")).select(table, "place", F.lit(-1).alias("zeros"), F.lit(1).alias("end"))
+    marks = placed.where(F.col("zeros") >= FALLBACK_BITS).select(table, "place", "zeros", F.lit(0).alias("end")).unionByName(last)
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        begin, number, fallback = 0, 0, 0
+
+        def step(found: pd.DataFrame) -> pd.DataFrame:
+            nonlocal begin, number, fallback
+            out: list[tuple[int, int, int]] = []
+
+            def cut(at: int) -> None:
+                nonlocal begin, number, fallback
+                out.append((begin, at, number))
+                begin, number, fallback = at, number + 1, 0
+
+            for place, zeros in zip(found["place"], found["zeros"], strict=True):
+                while place > begin + SEGMENT_MAX or (zeros < 0 and place == begin + SEGMENT_MAX):
+                    later = [p for p in held if p >= begin + SEGMENT_MIN]
+                    cut(later[-1] if later else begin + SEGMENT_MAX)
+                    held[:] = [p for p in held if p > begin]
+                if zeros < 0:
+                    if begin < place:
+                        cut(place)
+                elif zeros >= CUT_BITS and place >= begin + SEGMENT_MIN:
+                    cut(place)
+                    held.clear()
+                else:
+                    held.append(place)
+            return pd.DataFrame({table: found[table].iloc[0], "low": [a for a, _, _ in out], "high": [b for _, b, _ in out], "segment": [n for _, _, n in out]})
+
+        held: list[int] = []
+        return step
+
+    long = F.lit(0).cast("long")
+    cuts = pass_over(marks, table, ["place", "end"], rows.select(table, long.alias("low"), long.alias("high"), long.alias("segment")).schema, start)
+    block = lambda place: F.floor((place - 1) / SEGMENT_MIN)
+    cuts = cuts.withColumn("block", F.explode(F.sequence(block(F.col("low") + 1), block(F.col("high")))))
+    found = placed.withColumn("block", block(F.col("place"))).join(cuts, [table, "block"])
+    return found.where((F.col("place") > F.col("low")) & (F.col("place") <= F.col("high"))).select(table, key, "segment")
 
 
 def leaves(extents: DataFrame, oid: str = "oid") -> DataFrame:
@@ -110,9 +129,8 @@ def leaves(extents: DataFrame, oid: str = "oid") -> DataFrame:
 
 def cadence(commits: DataFrame, key: str, every: int = CHECKPOINT_COMMITS, nbytes: int = CHECKPOINT_BYTES) -> DataFrame:
     """Where a checkpoint is due: each time so many commits or so many bytes have come since the one before."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = commits.withColumns({"n": F.count("*").over(w), "total": F.sum("bytes").over(w)})
-    before = F.col("total") - F.col("bytes")
+    rows = running(commits.select(key, "seq", "bytes"), [key], ["seq"], {"n": F.lit(1), "total": F.col("bytes")})
+    before = F.col("total") - F.coalesce("bytes", F.lit(0))
     due = (F.col("n") % every == 0) | (F.floor(F.col("total") / nbytes) > F.floor(before / nbytes))
     return rows.where(due).select(key, "seq")
 
@@ -133,26 +151,31 @@ def write_checkpoint(tables: dict[str, tuple[DataFrame, list[str]]], path: str,
 
 
 def append_commits(commits: DataFrame, path: str) -> int:
-    """Appends commits whose seq the log does not hold yet and returns how many; one writer at a time."""
-    from pyspark.errors import AnalysisException
+    """Appends commits whose seq the log does not hold yet and returns how many; one writer at a time.
 
-    try:
-        commits = commits.join(commits.sparkSession.read.parquet(path).select("seq"), "seq", "left_anti")
-    except AnalysisException:
-        pass  # the first write
+    Of the log only the numbers in the range of those given are read. A log of another schema is an error.
+    """
+    spark = commits.sparkSession
+    if exists(spark, path):
+        ends = commits.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+        held = spark.read.parquet(path)
+        if set(held.columns) != set(commits.columns):
+            raise ValueError(f"the log has the columns {held.columns}, not {commits.columns}")
+        commits = commits.join(held.where(F.col("seq").between(ends["a"], ends["b"])).select("seq"), "seq", "left_anti")
+    commits = kept(commits)
     n = commits.count()
     if n:
         commits.write.mode("append").parquet(path)
     return n
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete_prefix(spark, path: str) -> bool:
     """Deletes a folder of the store through Hadoop's file systems, whatever their scheme."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def show(rows: DataFrame) -> Iterator[tuple]:
-    """The pieces of one version in order, fetched partition by partition."""
-    return rows.toLocalIterator()

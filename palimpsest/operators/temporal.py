@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from palimpsest.operators.order import running
+
 
 def as_of(history: DataFrame, instant: str) -> DataFrame:
     """Each object's latest version not after the instant; of equal times the highest version. Folds map-side."""
@@ -75,13 +77,12 @@ def floor_of(rows: DataFrame, keep: int, order: str = "seq") -> DataFrame:
 
 
 def whole_batches(batches: DataFrame, key: str, limit: int) -> DataFrame:
-    """Whole batches in order until they hold over `limit` changes, at least one. batches: key, seq, n."""
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
-    return batches.withColumns({"__before": before, "__place": place}).where((F.col("__place") == 1) | (F.col("__before") + F.col("n") <= limit)).drop("__before", "__place")
+    """Whole batches in order while they hold at most `limit` changes together, the first however many. batches: key, seq, n."""
+    summed = running(batches, [key], ["seq"], {"__sum": F.col("n"), "__place": F.lit(1)})
+    return summed.where((F.col("__place") == 1) | (F.col("__sum") <= limit)).drop("__sum", "__place")
 
 
 def within_budget(blocks: DataFrame, key: str, budget: int) -> DataFrame:
     """What a cache keeps: pinned blocks, and the most recently used others while their sum fits. blocks: id, len, last_used, pinned."""
-    others = blocks.where("not pinned").withColumn("__sum", F.sum("len").over(Window.partitionBy(key).orderBy(F.desc("last_used"), "id").rowsBetween(Window.unboundedPreceding, 0)))
+    others = running(blocks.where("not pinned"), [key], ["last_used", "id"], {"__sum": F.col("len")}, descending=("last_used",))
     return others.where(F.col("__sum") <= budget).drop("__sum").unionByName(blocks.where("pinned"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.session import RECURSION_LIMIT
+from palimpsest.session import RECURSION_LIMIT, kept
+
+#: Names on the way to an entry beyond which the way is taken for a cycle; keys are at most 1,024 bytes.
+DEEPEST = 1 << 16
 
 
 def _recursive(df: DataFrame, sql: str, **frames: DataFrame) -> DataFrame:
@@ -16,12 +19,20 @@ def _recursive(df: DataFrame, sql: str, **frames: DataFrame) -> DataFrame:
 
 
 def keys(entries: DataFrame, root: str = "root") -> DataFrame:
-    """parent, name, oid, kind, key and depth of every entry the root reaches; a folder's key ends in a slash."""
-    return _recursive(entries, """with recursive walk as (
-        select parent, name, oid, kind, case kind when 'folder' then concat(name, '/') else name end as key, 1 as depth from {entries} where parent = {root}
-        union all
-        select e.parent, e.name, e.oid, e.kind, concat(w.key, e.name, case e.kind when 'folder' then '/' else '' end), w.depth + 1 from walk w join {entries} e on e.parent = w.oid)
-        select * from walk""", entries=entries, root=root)
+    """parent, name, oid, kind, key and depth of every entry the root reaches; a folder's key ends in a slash.
+
+    Each entry knows the way from a folder above it; each round joins to it the way of that folder, so ways double and
+    a tree of depth d takes log2(d) joins. Entries whose parent is nowhere have no key, nor have those in a cycle, which
+    are told by a way of over DEEPEST names.
+    """
+    own = segment()
+    rows = kept(entries.select("parent", "name", "oid", "kind", F.col("parent").alias("top"), own.alias("key"), F.lit(1).alias("depth")))
+    while not rows.where(F.col("top") != root).isEmpty():
+        above = rows.select(F.col("oid").alias("top"), F.col("top").alias("__next"), F.col("key").alias("__front"), F.col("depth").alias("__more"))
+        longer = rows.where(F.col("top") != root).join(above, "top").where(F.col("depth") + F.col("__more") <= DEEPEST)
+        longer = longer.select("parent", "name", "oid", "kind", F.col("__next").alias("top"), F.concat("__front", "key").alias("key"), (F.col("depth") + F.col("__more")).alias("depth"))
+        rows = kept(rows.where(F.col("top") == root).unionByName(longer))
+    return rows.drop("top")
 
 
 def descendants(entries: DataFrame, start: str) -> DataFrame:
@@ -34,12 +45,6 @@ def ancestors_of(entries: DataFrame, oid: str) -> DataFrame:
     return _recursive(entries, """with recursive up as (select parent as oid, 1 as distance from {entries} where oid = {start} union all select e.parent, u.distance + 1 from up u join {entries} e on e.oid = u.oid) select * from up""", entries=entries, start=oid)
 
 
-def chain(rows: DataFrame, node: str, base: str) -> DataFrame:
-    """node, ancestor and distance along base links, which name earlier nodes; each node is its own ancestor at 0."""
-    return _recursive(rows, f"""with recursive up as (select {node} as node, {node} as ancestor, {base} as following, 0 as distance from {{rows}}
-        union all select u.node, r.{node}, r.{base}, u.distance + 1 from up u join {{rows}} r on r.{node} = u.following) select node, ancestor, distance from up""", rows=rows)
-
-
 def has_children(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("parent").alias("oid")).distinct()
 

@@ -71,7 +71,7 @@ query("ag_gc_bytes", "select count(*) as objects, cast(sum(size) as bigint) as b
 query("ag_dedup", "with c as (select hash, count(*) as drives from fx_refs group by hash) select drive, cast(sum(n) as bigint) as bytes, count(*) as shards, cast(sum(case when drives = 1 then n else 0 end) as bigint) as own_bytes from fx_refs join c using (hash) group by drive")(lambda fx: content.dedup(fx.fx_refs))
 query("ag_round_stats", 'select scenario, target, "round", count(*) as ops, round(quantile_cont(latency, 0.5), 6) as p50, round(quantile_cont(latency, 0.9), 6) as p90, round(quantile_cont(latency, 0.99), 6) as p99, round(avg(latency), 6) as mean, min(latency) as least, max(latency) as most, round(count(*) / (sum(latency) / 1000), 6) as mib_s from fx_bench group by 1, 2, 3')(lambda fx: latency.round_stats(fx.fx_bench))
 for p in (50, 90, 99):
-    query(f"ag_p{p}", f"select scenario, round(quantile_cont(latency, {p / 100}), 6) as p{p} from fx_bench group by scenario")(lambda fx, p=p: fx.fx_bench.groupBy("scenario").agg(F.round(F.percentile("latency", F.lit(p / 100)), 6).alias(f"p{p}")))
+    query(f"ag_p{p}", f"select scenario, round(quantile_cont(latency, {p / 100}), 6) as p{p} from fx_bench group by scenario")(lambda fx, p=p: latency.quantile(fx.fx_bench, p / 100, f"p{p}"))
 query("ag_median_rounds", 'select scenario, target, round(quantile_cont(p50, 0.5), 6) as p50 from (select scenario, target, "round", quantile_cont(latency, 0.5) as p50 from fx_bench group by 1, 2, 3) group by 1, 2')(lambda fx: latency.median_of_rounds(fx.fx_bench))
 query("ag_speedup", 'with m as (select scenario, target, round(quantile_cont(p50, 0.5), 6) as p50 from (select scenario, target, "round", quantile_cont(latency, 0.5) as p50 from fx_bench group by 1, 2, 3) group by 1, 2) select a.scenario, round(a.p50 / b.p50, 6) as speedup from m a join m b using (scenario) where a.target = 0 and b.target = 1')(lambda fx: latency.speedup(fx.fx_bench))
 query("ag_geomean", "select scenario, round(exp(avg(ln(latency))), 6) as geomean from fx_bench group by scenario")(lambda fx: latency.geometric_mean(fx.fx_bench))

@@ -115,8 +115,9 @@ query("j_as_of_many", "select a.oid, a.at, max(h.seq) as seq from (select distin
 query("j_range_extent", """with b as (select oid, pos, coalesce(s, 'zeros') as source, sum(coalesce(n, z)) over (partition by oid order by pos) as stop, coalesce(n, z) as len from fx_extents), t as (select oid, max(stop) as total from b group by oid)
   select b.oid, 300 as want, b.pos, b.source, cast(greatest(300, stop - len) - (stop - len) as bigint) as "offset", cast(least(1300, stop) - greatest(300, stop - len) as bigint) as len from b join t using (oid) where total >= 1300 and stop > 300 and stop - len < 1300""")(
     lambda fx: content.read_plan(fx.fx_extents, fx.documents.select(F.col("doc_id").alias("oid"), F.lit(300).cast("long").alias("start"), F.lit(1000).cast("long").alias("len"))).withColumns({"want": F.col("want").cast("int"), "pos": F.col("pos").cast("long")}))
-query("j_depends", """with k as (select id, drive, key, rtrim(key, '/') as plain from fx_queue) select distinct a.id as earlier, b.id as later from k a join k b on a.drive = b.drive and a.id < b.id and (a.plain = b.plain or (a.key like '%/' and starts_with(b.key, a.key)) or (b.key like '%/' and starts_with(a.key, b.key)))""")(
-    lambda fx: journal.depends(fx.fx_queue))
+query("j_depends", """with k as (select id, drive, key, rtrim(key, '/') as plain from fx_queue), f as (select i.id, f.key as folder, f.id as whole from k i join k f on i.drive = f.drive and f.key like '%/' and starts_with(i.plain, f.key))
+  select max(a.id) as earlier, b.id as later from k a join k b on a.drive = b.drive and a.plain = b.plain and a.id < b.id group by b.id
+  union select max(whole), id from f where whole < id group by id, folder union select id, min(whole) from f where whole > id group by id, folder""")(lambda fx: journal.depends(fx.fx_queue))
 query("j_gc_anti", "select hash from fx_stored where hash not in (select r.hash from fx_refs r join fx_drives d on r.drive = d.drive where not d.deleted)")(
     lambda fx: fx.fx_stored.select("hash").join(gc.mark(_live_refs(fx)), "hash", "left_anti"))
 query("j_gc_confirm", "select hash, size from fx_stored where hash not in (select r.hash from fx_refs r join fx_drives d on r.drive = d.drive where not d.deleted) and first_doc % 4 = 1 and modified < timestamp '2024-01-05 00:00:00'")(

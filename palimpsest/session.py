@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,7 +21,7 @@ def session(app: str = "palimpsest", cpus: str = "*", **conf: str) -> SparkSessi
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.cteRecursionLevelLimit", str(RECURSION_LIMIT))
+        .config("spark.sql.cteRecursionLevelLimit", str(RECURSION_LIMIT)).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -52,10 +53,13 @@ def send_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Where the session names none (tests on one machine), a local folder is set.
+    Where the session names none and runs on one machine, a local folder is set; on a cluster that is an error, as what
+    one machine writes there the others can't read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if named is None and context.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if named is None and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     elif context.getCheckpointDir() is None:
@@ -63,6 +67,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.dirname(context.getCheckpointDir())
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named tables of one data directory."""
     send_package(spark)

@@ -51,6 +51,33 @@ def test_later_extents_lie_over_earlier(spark, table):
     assert rows(found.select("start", "stop", "ord")) == [(0, 3, 0), (3, 5, 1), (5, 10, 0)]
 
 
+def test_overlays_of_many_extents_are_those_of_a_buffer(spark, table):
+    """A file of many edits, one of long extents, touching and empty ones, in small batches."""
+    rng = random.Random(6)
+    extents = [("hot", i, (a := rng.randrange(2000)), a + rng.randrange(0, 60)) for i in range(1500)] + [("long", i, i * 3, 400 - i) for i in range(80)] + [("one", 0, 5, 9)]
+    want = []
+    for key in ("hot", "long", "one"):
+        cells = {}
+        for k, i, a, b in extents:
+            if k == key:
+                cells |= dict.fromkeys(range(a, b), i)
+        for at in sorted(cells):
+            if want and want[-1][0] == key and want[-1][2] == at and want[-1][3] == cells[at]:
+                want[-1] = (key, want[-1][1], at + 1, cells[at])
+            else:
+                want.append((key, at, at + 1, cells[at]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    found = content.overlay_extents(table(extents, "key string, ord int, start long, stop long").repartition(5)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["key"], r["start"], r["stop"], r["ord"]) for r in found) == want
+
+
+def test_chunk_sizes(spark, table):
+    cases = {(262_144, 2_097_152, 16_777_216): True, (64, 256, 1024): True, (63, 256, 1024): False, (512, 256, 1024): False, (64, 256, 32 << 20): False, (64, 255, 1024): False, (64, 256, None): False}
+    df = table([(*k,) for k in cases], "a long, b long, c long")
+    assert {(r["a"], r["b"], r["c"]): r["fits"] for r in df.withColumn("fits", chunking.sizes_fit(F.col("a"), F.col("b"), F.col("c"))).collect()} == cases
+
+
 def test_chunks_do_not_depend_on_the_pieces():
     rng = random.Random(4)
     data = rng.randbytes(20_000)

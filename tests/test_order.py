@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
+import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from palimpsest.operators.order import number_all, pass_over
+from palimpsest.operators.order import number_all, pass_over, quantiles, running
 from palimpsest.operators import journal, planners, temporal
 
 
@@ -52,13 +55,52 @@ def test_as_of_many_is_as_of_for_each(spark, table):
         assert all(found[f"o{k}", day] == one.get(f"o{k}") for k in range(5))
 
 
-def test_dependencies_are_those_of_all_pairs(spark, table):
+def test_dependencies_lead_to_all_pairs(spark, table):
     rng = random.Random(3)
     names = ["a", "a/", "a/b", "a/b/", "a/b/c", "ab", "b/", "b/a", "c"]
     entries = [(i, f"d{rng.randrange(2)}", rng.choice(names)) for i in range(60)]
-    under = lambda k, p: p.endswith("/") and k.startswith(p)
-    want = [(i, j) for i, d, k in entries for j, e, m in entries if i < j and d == e and (k.rstrip("/") == m.rstrip("/") or under(k, m) or under(m, k))]
-    assert rows(journal.depends(table(entries, "id long, drive string, key string"))) == sorted(want, key=str)
+    under = lambda k, p: p.endswith("/") and k.rstrip("/").startswith(p)
+    pairs = {(i, j) for i, d, k in entries for j, e, m in entries if i < j and d == e and (k.rstrip("/") == m.rstrip("/") or under(k, m) or under(m, k))}
+    links = {tuple(r) for r in journal.depends(table(entries, "id long, drive string, key string")).collect()}
+
+    def closed(found):
+        out = set(found)
+        for k in range(60):
+            out |= {(a, c) for a, b in out if b == k for b2, c in out if b2 == k}
+        return out
+
+    assert links <= pairs and closed(links) == closed(pairs)
+
+
+def test_many_entries_of_one_folder_make_few_links(spark, table):
+    entries = [(i, "d", "a/" if i % 3 == 0 else f"a/{i}") for i in range(3000)]
+    assert journal.depends(table(entries, "id long, drive string, key string")).count() < 6000
+
+
+def test_long_chains(spark, table):
+    """Ten thousand entries on one another: the nearest blocked one, and what is needed no more."""
+    n = 10_000
+    rows_ = [(i, i - 1 if i else None, "failed" if i in (2000, 7000) else "queued" if i == 5000 else "done") for i in range(n)]
+    entries = table(rows_, "id long, base long, state string").repartition(4)
+    found = {r["node"]: r["blocked_by"] for r in journal.first_blocked(entries).collect()}
+    assert found == {i: 2000 if i < 7000 else 7000 for i in range(2000, n)}
+    assert {r["id"] for r in journal.unneeded(entries).collect()} == set(range(7001, n))
+
+
+def test_running_sums_and_quantiles(spark, table):
+    rng = random.Random(5)
+    data = [(rng.choice([None, "hot", "hot", "hot", "a", "b"]), rng.randrange(30), rng.choice([None, *range(9)]), i) for i in range(3000)]
+    df = table(data, "k string, at int, x int, i int").repartition(6)
+    found = running(df, ["k"], ["at", "i"], {"total": F.col("x"), "n": F.lit(1)}, descending=("at",)).collect()
+    want, seen = {}, {}
+    for k, at, x, i in sorted(data, key=lambda r: (-r[1], r[3])):
+        total, n = seen.get(k, (0, 0))
+        seen[k] = want[i] = (total + (x or 0), n + 1)
+    assert {r["i"]: (r["total"], r["n"]) for r in found} == want and found[0].asDict().keys() == {"k", "at", "x", "i", "total", "n"}
+    got = {r["k"]: (r["low"], r["high"]) for r in quantiles(df, ["k"], "x", {"low": 0.1, "high": 0.77}).collect()}
+    for k in (None, "hot", "a", "b"):
+        values = [x for kk, _, x, _ in data if kk == k and x is not None]
+        assert got[k] == pytest.approx((np.quantile(values, 0.1), np.quantile(values, 0.77)))
 
 
 def test_restore_classes(spark, table):

@@ -10,6 +10,7 @@ from palimpsest.operators.listing import list_keys
 SCHEMA = "seq long, idx int, chg int, time string, oid string, what string, parent string, name string, size long, etag string"
 #: The sample drive: a folder with a file and an empty folder, and a file beside it.
 ENTRIES = [("root", "a", "o-a", "folder"), ("o-a", "b.txt", "o-b", "file"), ("o-a", "c", "o-c", "folder"), ("root", "z.txt", "o-z", "file")]
+#: Listings of the sample drive that any engine of this data model has to give.
 GOLDEN = [
     ("", False, None, 100, ["a/b.txt", "a/c/", "z.txt"], False), ("", True, None, 100, ["a/", "z.txt"], False), ("a/", True, None, 100, ["a/b.txt", "a/c/"], False), ("a/b", False, None, 100, ["a/b.txt"], False),
     ("a/c/", False, None, 100, ["a/c/"], False), ("", False, None, 2, ["a/b.txt", "a/c/"], True), ("", False, "a/c/", 2, ["z.txt"], False), ("", False, "a/", 10, ["a/b.txt", "a/c/", "z.txt"], False), ("nope/", False, None, 100, [], False),
@@ -71,6 +72,12 @@ def test_log_faults(spark, table):
     assert rows(state.violations(log)) == [(4, "gap"), (5, "time")]
 
 
+def test_cycles_and_orphans_have_no_key(spark, table):
+    rows_ = [*ENTRIES, ("o-x", "x", "o-y", "folder"), ("o-y", "y", "o-x", "folder"), ("o-y", "in", "o-w", "file"), ("nowhere", "n", "o-n", "file")]
+    found = tree.keys(table(rows_, "parent string, name string, oid string, kind string"))
+    assert sorted(r["key"] for r in found.collect()) == ["a/", "a/b.txt", "a/c/", "z.txt"]
+
+
 def test_deep_keys(spark, table):
     deep = [("root" if i == 0 else f"o{i - 1}", "d", f"o{i}", "folder") for i in range(300)]
     assert tree.keys(table(deep, "parent string, name string, oid string, kind string")).where("depth = 300").first()["key"] == "d/" * 300
