@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.operators.order import pass_over
 from palimpsest.operators.tree import has_children, missing_parents
 
 BATCH_DELETES = 1000
@@ -111,6 +115,41 @@ def drive_lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("drive").agg(F.when(F.max(F.when(F.col("op") == "hard_delete", 1)) == 1, "gone").when(last == "soft_delete", "deleted").otherwise("live").alias("state"))
 
 
+def drive_requests(asked: DataFrame) -> DataFrame:
+    """alias, seq, op, outcome of requests (alias, seq, op: create, soft_delete, undelete, hard_delete) made in order.
+
+    An alias is of one live drive at most; a drive deleted softly leaves it free, and the last so deleted can come back
+    while it is free. done; exists: a live drive has the alias; missing: there is no such drive. An alias's requests are
+    one ordered pass, batch by batch; other ops and nulls are unknown.
+    """
+    schema = asked.select("alias", "seq", "op", F.lit("").alias("outcome")).schema
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        live = deleted = False
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal live, deleted
+            out = []
+            for op in rows["op"]:
+                outcome = "done"
+                if op == "create":
+                    outcome, live = ("exists", True) if live else ("done", True)
+                elif op == "soft_delete":
+                    outcome, live, deleted = ("done", False, True) if live else ("missing", live, deleted)
+                elif op == "undelete":
+                    outcome, live, deleted = ("missing", live, deleted) if not deleted else ("exists", live, deleted) if live else ("done", True, False)
+                elif op == "hard_delete":
+                    outcome, live, deleted = ("done", False, deleted) if live else ("done", False, False) if deleted else ("missing", live, deleted)
+                else:
+                    outcome = "unknown"
+                out.append(outcome)
+            return rows[["alias", "seq", "op"]].assign(outcome=out)
+
+        return step
+
+    return pass_over(asked.select("alias", "seq", "op"), "alias", ["seq"], schema, start)
+
+
 def alias_clashes(drives: DataFrame) -> DataFrame:
     """Aliases that more than one live drive has. drives: alias, state."""
     return drives.where("state = 'live'").groupBy("alias").agg(F.count("*").alias("n")).where("n > 1")

@@ -70,6 +70,25 @@ def removed(objects: DataFrame) -> DataFrame:
     return objects.where("linked = 'remove'")
 
 
+def removed_rows(changes: DataFrame) -> DataFrame:
+    """oid, seq, idx, last_seq, last_idx, time of removed objects: the version that took each out, and its version before."""
+    gone = F.max_by(version(), F.when(F.col("what").isin("create", "remove"), F.struct(*CHANGE)))
+    linked_ = F.max_by("what", F.when(F.col("what").isin("create", "remove"), F.struct(*CHANGE)))
+    out = changes.groupBy("oid").agg(gone.alias("gone"), linked_.alias("linked"), F.max_by("time", F.when(F.col("what") == "remove", F.struct(*CHANGE))).alias("time")).where("linked = 'remove'")
+    before = changes.join(out.select("oid", "gone"), "oid").where(version() < F.col("gone")).groupBy("oid").agg(F.max(version()).alias("last"))
+    return out.join(before, "oid", "left").select("oid", "gone.seq", "gone.idx", F.col("last.seq").alias("last_seq"), F.col("last.idx").alias("last_idx"), "time")
+
+
+def single_versions(changes: DataFrame, txns: DataFrame) -> DataFrame:
+    """oid, head, versions: without the multi-object flag only a transaction's target gets a version, but all it touches take it as head.
+
+    txns: seq, idx, target.
+    """
+    heads = changes.groupBy("oid").agg(F.max(version()).alias("head"))
+    counts = txns.groupBy(F.col("target").alias("oid")).agg(F.count("*").alias("versions"))
+    return heads.join(counts, "oid", "left").fillna({"versions": 0})
+
+
 def changed_shape(before: DataFrame, after: DataFrame, members: list[str]) -> DataFrame:
     """What a multi-object version records: objects whose members differ, and delete for those taken out.
 

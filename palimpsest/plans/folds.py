@@ -15,17 +15,10 @@ text_bytes = lambda c: F.encode(c, "UTF-8")
 
 # sinks
 
-query("snk_commit", 'select target, seq, idx, cast((row_number() over (partition by target order by seq, idx) - 1) // 16 + 1 as bigint) as "commit" from fx_txns')(lambda fx: log.group_commits(fx.fx_txns, "target", 16).select("target", "seq", "idx", "commit"))
-query("snk_put_new", "select seq, idx, target from fx_txns where seq > 100")(lambda fx: fx.fx_txns.join(fx.fx_txns.where("seq <= 100").select("seq").distinct(), "seq", "left_anti").select("seq", "idx", "target"))
-query("snk_batch_bytes")(lambda fx: log.group_by_bytes(fx.fx_history, "oid", "size", 100_000))
-query("snk_checkpoint", "select e.oid, e.parent, e.name, o.size, o.etag from fx_entries e join fx_objects o using (oid)")(lambda fx: fx.fx_entries.join(fx.fx_objects, "oid").select("oid", "parent", "name", "size", "etag"))
-query("snk_segments")(lambda fx: log.segments(fx.fx_entries, "kind", "oid"))
 query("snk_cadence", """with c as (select oid, seq, row_number() over (partition by oid order by seq) as n, cast(sum(size) over (partition by oid order by seq) as bigint) as total, size from fx_history)
   select oid, seq from c where n % 10 = 0 or total // 1000000 > (total - size) // 1000000""")(lambda fx: log.cadence(fx.fx_history.select("oid", "seq", F.col("size").alias("bytes")), "oid", 10, 1_000_000))
 query("snk_reuse", "select distinct hash from fx_shards where hash not in (select hash from fx_shards where doc_id % 2 = 0)")(lambda fx: log.not_held(fx.fx_shards.select("hash"), fx.fx_shards.where("doc_id % 2 = 0")))
 query("snk_write_shards", "select hash, max(n) as n from fx_shards where hash not in (select hash from fx_stored where first_doc < 100) group by hash")(lambda fx: log.not_held(fx.fx_shards.select("hash", "n"), fx.fx_stored.where("first_doc < 100")))
-query("snk_write_pages", "select distinct hash from fx_shards where pos = 0 and hash not in (select hash from fx_shards where pos > 0)")(lambda fx: log.not_held(fx.fx_shards.where("pos = 0").select("hash"), fx.fx_shards.where("pos > 0")))
-
 # folds
 
 FOLDED = """f as (select oid, arg_max(parent, row(seq, idx, chg)) filter (parent is not null) as parent, arg_max(size, row(seq, idx, chg)) filter (size is not null) as size, arg_max(etag, row(seq, idx, chg)) filter (etag is not null) as etag,
@@ -35,18 +28,12 @@ query("st_explode", "select seq, idx, time, target, op from (select seq, idx, fi
 query("st_apply", f"with {FOLDED} select oid, parent, coalesce(size, -1) as size, coalesce(etag, '') as etag, head, linked from f")(lambda fx: folded(fx).select("oid", "parent", F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("etag", F.lit("")).alias("etag"), F.col("head.seq").alias("head"), "linked"))
 query("st_apply_txn_of", f"with {FOLDED.replace('from fx_changes group', 'from fx_changes where seq <= 400 group')} select oid, parent, coalesce(size, -1) as size, head, linked from f")(
     lambda fx: folded(fx, F.col("seq") <= 400).select("oid", "parent", F.coalesce("size", F.lit(-1)).alias("size"), F.col("head.seq").alias("head"), "linked"))
-query("st_check_txn", "select count(*) filter (where what = 'remove') as removes, count(*) filter (where parent is null and what in ('create', 'move')) as homeless from fx_changes")(lambda fx: fx.fx_changes.agg(F.count(F.when(F.col("what") == "remove", 1)).alias("removes"), F.count(F.when(F.col("parent").isNull() & F.col("what").isin("create", "move"), 1)).alias("homeless")))
 query("st_create", f"with {FOLDED} select oid, parent from f where linked = 'create'")(lambda fx: state.linked(folded(fx)).select("oid", "parent"))
 query("st_set", "select oid, seq, coalesce(last_value(size ignore nulls) over w, -1) as size, coalesce(last_value(etag ignore nulls) over w, '') as etag from fx_changes window w as (partition by oid order by seq, idx, chg)")(
     lambda fx: state.history_of(fx.fx_changes, ["size", "etag"]).select("oid", "seq", F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("etag", F.lit("")).alias("etag")))
 query("st_move", f"with {FOLDED} select oid, parent from f")(lambda fx: folded(fx).select("oid", "parent"))
-query("st_remove", f"with {FOLDED} select oid, head from f where linked = 'remove'")(lambda fx: state.removed(folded(fx)).select("oid", F.col("head.seq").alias("head")))
 query("st_heads", "select oid, max(seq) as seq from fx_changes group by oid")(lambda fx: folded(fx).select("oid", "head.seq"))
-query("st_version_single", "select seq, idx, target, op from fx_txns")(lambda fx: state.explode_log(state.pack_log(fx.fx_txns, ["target", "op"])).select("seq", "idx", "target", "op"))
 query("st_version_multi", "select b.oid, 'write' as op from fx_entries b join fx_moves a on a.oid = b.oid where a.parent <> b.parent or a.name <> b.name")(lambda fx: state.changed_shape(fx.fx_entries, fx.fx_moves, ["parent", "name"]))
-query("st_rows", "select oid, kind, size from fx_objects")(lambda fx: fx.fx_objects.orderBy("oid").select("oid", "kind", "size"))
-query("st_spill", "select doc_id as oid, sha256(text) as s, cast(strlen(text) as bigint) as n from documents where strlen(text) <= 4096")(
-    lambda fx: state.spill(fx.documents.where("octet_length(text) <= 4096").select(F.col("doc_id").alias("oid"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("long").alias("n"), text_bytes("text").alias("d"))))
 query("st_fork", "select seq, idx, target, op from (select seq, idx, target, op from fx_txns where seq <= 150 union all select seq, idx, target, 'fork' from fx_txns where seq > 150 and seq % 2 = 0)")(
     lambda fx: state.fork(fx.fx_txns.select("seq", "idx", "target", "op"), fx.fx_txns.where("seq % 2 = 0").select("seq", "idx", "target", F.lit("fork").alias("op")), 150))
 query("st_lineage", "select fork_of as drive, drive as fork from fx_drives where not deleted and fork_of is not null")(lambda fx: state.live_forks(fx.fx_drives))
@@ -134,12 +121,9 @@ query("ct_patch_decode", "select doc_id, cast(item as bigint) as ord, off, data
 query("ct_edit_pipeline", f"select item_id, sha256(unhex(concat(hex(encode('head')), substr(h, 9), hex(encode('tail'))))) as etag, case when n + 4 <= 4096 then 'inline' else 'shards' end as place from {HEX}")(
     lambda fx: content.apply_edits(fx.benchmark.select(F.col("item_id").alias("doc_id"), text_bytes("text").alias("bytes")), fx.benchmark.select(F.col("item_id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit(0).cast("long").alias("off"), text_bytes(F.lit("head")).alias("data")), F.struct(F.lit(1).alias("ord"), F.octet_length("text").cast("long").alias("off"), text_bytes(F.lit("tail")).alias("data")))).alias("e")).select("doc_id", "e.*"))
     .select(F.col("doc_id").alias("item_id"), F.sha2("bytes", 256).alias("etag"), F.when(F.octet_length("bytes") <= content.INLINE_BYTES, "inline").otherwise("shards").alias("place")))
-query("ct_fastcdc")(lambda fx: chunking.shards(fx.documents.select("doc_id", text_bytes("text").alias("bytes")), "doc_id", "bytes", 256, 1024, 4096))
 query("ct_stream_chunk", "select doc_id, cast(strlen(text) as bigint) as n from documents where n_chars > 0")(lambda fx: chunking.shards(fx.documents.where("n_chars > 0").select("doc_id", text_bytes("text").alias("bytes")), "doc_id", "bytes", 64, 256, 1024).groupBy("doc_id").agg(F.sum("n").alias("n")))
-query("ct_params", "select item_id, item_id % 2 = 0 as good from benchmark")(lambda fx: fx.benchmark.select("item_id", (F.pmod("item_id", F.lit(2)) == 0).alias("good")))
 query("ct_shards", "select doc_id, pos, hash, n from fx_shards")(lambda fx: fx.documents.where("text is not null").select("doc_id", F.posexplode(content.cut_fixed(F.col("text"), 512)).alias("pos", "bytes")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").cast("long").alias("n")))
 query("ct_dedup", "select hash, max(n) as n from fx_shards group by hash")(lambda fx: fx.fx_shards.dropDuplicates(["hash"]).select("hash", "n"))
-query("ct_manifest")(lambda fx: log.leaves(fx.fx_extents.withColumn("oid", F.col("oid") % 5).withColumn("pos", F.monotonically_increasing_id())))
 PAGES = "select concat('p', cast(doc_id as varchar(20))) as page, pos * 1 as pos, cast(null as varchar(20)) as child, hash as s, n from fx_shards union all select 'root', doc_id, concat('p', cast(doc_id as varchar(20))), null, null from documents"
 query("ct_flatten", "select doc_id, pos, hash as s, n from fx_shards")(
     lambda fx: content.flatten(fx.sql(PAGES.replace("varchar(20)", "string")), "root").select(F.col("path")[0].cast("long").alias("doc_id"), F.col("path")[1].cast("long").alias("pos"), "s", "n"))
@@ -147,7 +131,6 @@ query("ct_etag", "select oid, sha256(unhex(concat('696e6c696e6500', string_agg(c
 query("ct_object_path", "select hash, concat(substr(hash, 1, 2), '/', substr(hash, 3, 2), '/', hash) as path from fx_stored")(lambda fx: fx.fx_stored.select("hash", content.object_path().alias("path")))
 query("ct_block_read", "select d.doc_id as oid, b as block, greatest(300 - b * 1024, 0) as \"offset\", least(300 + n_chars, (b + 1) * 1024) - greatest(300, b * 1024) as len from (select doc_id, n_chars, unnest(generate_series(0, (300 + n_chars - 1) // 1024)) as b from documents where n_chars > 0) d")(
     lambda fx: content.blocks_of(fx.documents.selectExpr("doc_id as oid", "300L as start", "n_chars as len"), 1024).select("oid", "block", "offset", "len"))
-query("ct_crc_pieces")(lambda fx: fx.benchmark.select("item_id", checksums.crc32c_pieces(text_bytes("text")).alias("sums")))
 query("ct_overlay_extents", """with x as (select doc_id as key, ord, off as start, off + len as stop from fx_edits), p as (select key, edge, lead(edge) over (partition by key order by edge) as nxt from (select key, start as edge from x union select key, stop from x)), s as (select p.key, p.edge, p.nxt, max(x.ord) as ord from p join x on x.key = p.key and x.start <= p.edge and x.stop >= p.nxt where nxt is not null group by 1, 2, 3)
   select key, min(edge) as start, max(nxt) as stop, max(ord) as ord from (select *, sum(new) over (partition by key order by edge) as run from (select *, case when lag(nxt) over (partition by key order by edge) = edge and lag(ord) over (partition by key order by edge) = ord then 0 else 1 end as new from s)) group by key, run""")(
     lambda fx: content.overlay_extents(fx.fx_edits.selectExpr("doc_id as key", "ord", "off as start", "off + len as stop")))
@@ -157,7 +140,6 @@ query("ct_checksums_udf")(lambda fx: fx.benchmark.select("item_id", *[c.alias(n)
 # sets and graphs
 
 query("so_union_distinct", "select ino from fx_local where ino is not null union select ino from fx_inodes where sync = 'conflicted'")(lambda fx: fx.fx_local.where("ino is not null").select("ino").union(fx.fx_inodes.where("sync = 'conflicted'").select("ino")).distinct())
-query("so_union_all", f"select parent, name, ino from {OVERLAY} where ino is not null")(lambda fx: journal.merged_names(fx.fx_local, fx.fx_remote))
 query("so_difference", "select distinct r.hash from fx_refs r where r.hash not in (select hash from fx_stored where first_doc % 3 > 0)")(lambda fx: gc.dangling(fx.fx_refs, fx.fx_stored.where("first_doc % 3 > 0")))
 query("so_hash_union", "select distinct hash from fx_refs where drive in ('src0', 'src2', 'src4')")(lambda fx: fx.fx_refs.where("drive = 'src0'").select("hash").union(fx.fx_refs.where("drive in ('src2', 'src4')").select("hash")).distinct())
 query("gr_descendants", "with recursive w as (select 'n-3' as oid, 0 as depth union all select e.oid, w.depth + 1 from w join fx_entries e on e.parent = w.oid) select * from w")(lambda fx: tree.descendants(fx.fx_entries, "n-3"))
@@ -171,26 +153,14 @@ query("gr_affected", R + "select oid from keyed where starts_with(key, 'ASIA/NAT
 # planners
 
 some_keys = lambda fx: fx.keys.where("kind = 'file'").select(F.regexp_replace("key", "order-0", "order-9").alias("key"))
-query("op_put", R + "select 'x/' || key as key, 'create' as outcome from keyed where kind = 'file' union all select key, 'replace' from keyed where depth = 2 union all select key || '/below', 'conflict' from keyed where kind = 'file'")(
-    lambda fx: planners.put(fx.keys.where("kind = 'file'").select(F.concat(F.lit("x/"), "key").alias("key")).unionAll(fx.keys.where("depth = 2").select("key")).unionAll(fx.keys.where("kind = 'file'").select(F.concat("key", F.lit("/below")))), fx.keys))
 query("op_mkparents", R + "select distinct 'new/' || split_part(key, '/', 1) || '/' as folder from keyed union select 'new/'")(lambda fx: planners.make_parents(fx.keys.select(F.concat(F.lit("new/"), F.substring_index("key", "/", 1), F.lit("/f")).alias("key")), fx.keys).select("folder"))
-query("op_write", "select seq, oid, 'write' as op from fx_history where op = 'write'")(lambda fx: fx.fx_history.where("op = 'write'").select("seq", "oid", "op"))
-query("op_delete", R + "select key, case when kind = 'folder' and oid in (select parent from fx_entries) then 'nothing' else 'removed' end as outcome from keyed union all select 'missing', 'nothing'")(lambda fx: planners.delete(fx.keys.select("key").unionAll(fx.spark.createDataFrame([("missing",)], "key string")), fx.keys, fx.fx_entries))
-query("op_rename", R + "select key as source, key || case kind when 'folder' then 'in/' else '.old' end as target, case kind when 'folder' then 'inside itself' else 'moved' end as outcome from keyed where depth > 1")(
-    lambda fx: planners.rename(fx.keys.where("depth > 1").select(F.col("key").alias("source"), F.concat("key", F.when(F.col("kind") == "folder", "in/").otherwise(".old")).alias("target")), fx.keys))
-query("op_restore", "select oid, seq, idx, case when oid in (select oid from fx_history where seq < 20) then 'key taken' else 'restored' end as outcome, size from fx_history where seq % 10 = 0 union all select 'u-1', -5, 0, 'no such version', 0")(
-    lambda fx: planners.restore(fx.fx_history.where("seq % 10 = 0").select("oid", "seq", "idx").unionAll(fx.spark.createDataFrame([("u-1", -5, 0)], "oid string, seq long, idx int")), fx.fx_history, fx.fx_history.where("seq < 20")))
 query("op_restore_file_as_of", "select oid, seq, idx, 'restored' as outcome, size from (select *, row_number() over (partition by oid order by time desc, seq desc) as rn from fx_history where time <= timestamp '2024-01-15 00:00:00') where rn = 1")(
     lambda fx: planners.restore(temporal.as_of(fx.fx_history, "2024-01-15 00:00:00").select("oid", "seq", "idx"), fx.fx_history, fx.fx_history.limit(0)))
-query("op_restore_subtree", "select coalesce(a.oid, b.oid) as oid, case when a.oid is null then 'removed' when b.oid is null then 'brought back' when a.parent <> b.parent then 'moved back' else 'untouched' end as action from (select * from fx_entries where parent in ('n-1', 'n-2')) a full join (select * from fx_moves where parent in ('n-1', 'n-2')) b on a.oid = b.oid")(
-    lambda fx: planners.restore_subtree(*[d.where("parent in ('n-1', 'n-2')").withColumn("etag", F.lit("e")) for d in (fx.fx_entries, fx.fx_moves)]))
 query("op_set_attrs", "select event_id, case when event_id % 2 = 0 then 'b=2,c=' || event_id else 'c=' || event_id end as attrs from events")(
     lambda fx: fx.events.select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries(planners.merge_attrs(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3")), F.expr("if(event_id % 2 = 0, array('a'), array('a', 'b'))"), F.create_map(F.lit("c"), F.col("event_id").cast("string")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("attrs")))
 query("op_copy", "select seq, etag, size from fx_history")(lambda fx: planners.copy(fx.fx_history.select(F.lit("d").alias("drive"), F.col("seq").alias("key"), F.col("seq").alias("target")), fx.fx_history.select(F.lit("d").alias("drive"), F.col("seq").alias("key"), "etag", "size")).select(F.col("target").alias("seq"), "etag", "size"))
 query("op_multipart", "select upload, cast(sum(size) as bigint) as size, string_agg(cast(size as varchar), ',' order by part) as sizes from fx_parts group by upload")(lambda fx: fx.fx_parts.groupBy("upload").agg(F.sum("size").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "size"))), lambda p: p["size"].cast("string")), ",").alias("sizes")))
 query("op_direct_plan", "select hash, case when first_doc % 2 = 0 then 'held' else 'missing' end as verdict from fx_stored")(lambda fx: planners.upload_plan(fx.fx_stored.select("hash", F.col("size").alias("n")), fx.fx_stored.where("first_doc % 2 = 0").select("hash", "size")))
-query("op_drive_lifecycle", "select oid as drive, op = 'delete' as gone from (select *, row_number() over (partition by oid order by seq desc) as rn from fx_history where op in ('put', 'delete')) where rn = 1")(
-    lambda fx: fx.fx_history.where("op in ('put', 'delete')").groupBy(F.col("oid").alias("drive")).agg((F.max_by("op", F.struct("seq", "idx")) == "delete").alias("gone")))
 query("op_expire", "select hash from fx_stored where timestamp '2024-01-12 00:00:00' - modified > interval '7' day")(lambda fx: gc.expire(fx.fx_stored, "modified", "2024-01-12 00:00:00", 7).select("hash"))
 LIVE = "(select r.hash from fx_refs r join fx_drives d on r.drive = d.drive where not d.deleted)"
 query("gc_mark", f"select distinct hash from {LIVE}")(lambda fx: gc.mark(_live_refs(fx)))
@@ -220,15 +190,11 @@ def _feed_of(fx):
 
 query("sx_feed_of", "select seq, 0 as place, case op when 'copy' then 'rename' else op end as op, case when op = 'delete' then 'old/' else 'users/' end || oid as key, case when op = 'copy' then 'old/' || oid else '' end as from_key, case when op <> 'delete' and seq % 5 = 0 then 'folder' when op = 'delete' and seq % 5 = 0 then 'folder' else 'file' end as kind from fx_history")(_feed_of)
 query("sx_changes_since", f"select seq, op, key, false as expired from ({FEED}) where seq > 700")(lambda fx: feed.changes_since(the_feed(fx), 700, 100).select("seq", "op", "key", "expired"))
-query("sx_poll", "select seq, op, oid from fx_history where seq > 100 order by seq limit 50")(lambda fx: fx.fx_history.where("seq > 100").orderBy("seq").limit(50).select("seq", "op", "oid"))
 query("sx_invalidate", f"""with f as ({FEED}), k as (select from_key as key, kind = 'folder' as folder, true as whole from f where from_key is not null union all select key, kind = 'folder', op in ('rename', 'delete', 'restore') from f)
   select distinct 'object' as what, key from k union select distinct 'subtree', rtrim(key, '/') || '/' from k where folder and whole""")(lambda fx: feed.invalidations(the_feed(fx)))
 query("sx_backoff", "select item_id, cast(least(250 * pow(2, least(item_id, 10)), 30000) as bigint) as ms from benchmark")(lambda fx: fx.benchmark.select("item_id", http.backoff_ms(F.col("item_id")).alias("ms")))
 query("sx_parse_sse", "select event_id as stream, cast(event_id as varchar) as id, event_type || chr(10) || 'more' as data from events")(
     lambda fx: feed.parse_sse(fx.events.select(F.col("event_id").alias("stream"), F.posexplode(F.array(F.lit(": hello"), F.concat(F.lit("id: "), F.col("event_id").cast("string")), F.concat(F.lit("data: "), "event_type"), F.lit("data:more"), F.lit(""))).alias("n", "line"))).select("stream", "id", "data"))
-query("sx_relist", "select oid, max(seq) as seq from fx_history group by oid")(lambda fx: fx.fx_history.where("seq <= 600").groupBy("oid").agg(F.max("seq").alias("seq")).unionAll(fx.fx_history.where("seq > 600").select("oid", "seq")).groupBy("oid").agg(F.max("seq").alias("seq")))
-query("sx_catch_up", "with f as (select oid, max(seq) as head from fx_changes group by oid) select oid, head from f")(lambda fx: state.fold(fx.fx_changes.where("seq <= 500").unionAll(fx.fx_changes.where("seq > 500")), MEMBERS).select("oid", F.col("head.seq").alias("head")))
-
 # functions
 
 query("fn_keys", "select page_id, split_part(key, '/', 1) as first, key like '%/' as folder from fx_keys")(lambda fx: fx.fx_keys.select("page_id", F.split_part("key", F.lit("/"), F.lit(1)).alias("first"), F.col("key").endswith("/").alias("folder")))

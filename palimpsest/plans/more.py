@@ -14,12 +14,7 @@ from palimpsest.streaming import feed
 text_bytes = lambda c: F.encode(c, "UTF-8")
 name_of = lambda: F.substring_index("path", "/", -1).alias("name")
 
-query("src_list_files")(lambda fx: store.list_files(fx.spark, f"{fx.sf_dir}/documents.parquet").select(name_of(), "length"))
-query("src_list_recursive")(lambda fx: store.list_files(fx.spark, fx.sf_dir).select(name_of(), "length"))
 query("src_client_storage", "select e.oid, e.parent, o.size from fx_entries e join fx_objects o using (oid) where e.kind = 'file'")(lambda fx: fx.fx_entries.where("kind = 'file'").join(fx.fx_objects.select("oid", "size"), "oid").select("oid", "parent", "size"))
-query("snk_commit_all", 'select target, seq, idx, cast((row_number() over (partition by target order by seq, idx) - 1) // 256 + 1 as bigint) as "commit", (row_number() over (partition by target order by seq, idx) - 1) % 256 as place from fx_txns')(
-    lambda fx: log.group_commits(fx.fx_txns, "target").select("target", "seq", "idx", "commit", F.col("place").cast("long").alias("place")))
-query("snk_show", "select doc_id, pos, bytes from fx_shards")(lambda fx: fx.fx_shards.orderBy("doc_id", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "bytes"))
 query("st_with_spilled", "select oid, case when oid like 'o-%' and substr(oid, 3)::bigint % 2 = 0 then 'shard' when oid like 'o-%' then 'inline' else 'none' end as content from fx_objects")(
     lambda fx: state.with_spilled(fx.fx_objects.select("oid", F.expr("case when oid like 'o-%' then 'inline' else 'none' end").alias("content")), fx.fx_objects.where("oid like 'o-%'").select("oid", F.expr("if(cast(substr(oid, 3) as bigint) % 2 = 0, 'inline', 'older')").alias("was"), F.lit("shard").alias("content"))))
 query("ct_spill", "select item_id as oid, sha256(text) as s, cast(strlen(text) as bigint) as n from benchmark")(lambda fx: state.spill(fx.benchmark.select(F.col("item_id").alias("oid"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("long").alias("n"), text_bytes("text").alias("d"))))
@@ -30,12 +25,6 @@ query("op_edit_target", R + "select key, case kind when 'folder' then 'refused'
 query("op_delete_many", "select batch as request, id as ord, key, count(*) over (partition by batch) <= 12 as accepted from fx_queue")(lambda fx: planners.delete_many(fx.fx_queue.selectExpr("batch as request", "id as ord", "key"), 12))
 query("op_direct_commit", "select doc_id as upload, case when bool_or(first_doc % 5 = 0) then 'missing' else 'ok' end as verdict from fx_shards join fx_stored using (hash) group by doc_id")(
     lambda fx: planners.commit_upload(fx.fx_shards.selectExpr("doc_id as upload", "hash", "n"), fx.fx_stored.where("first_doc % 5 <> 0")))
-EVENTS = "select oid as drive, seq, case op when 'put' then 'create' when 'delete' then 'soft_delete' when 'write' then 'undelete' else case when seq % 401 = 0 then 'hard_delete' else 'create' end end as op from fx_history"
-LIFE = f"select drive, case when bool_or(op = 'hard_delete') then 'gone' when arg_max(op, seq) = 'soft_delete' then 'deleted' else 'live' end as state from ({EVENTS}) group by drive"
-query("op_drive_states", LIFE)(lambda fx: planners.drive_lifecycle(fx.sql(EVENTS)))
-for name, op in (("op_drive_create", "create"), ("op_soft_delete", "soft_delete"), ("op_undelete", "undelete"), ("op_hard_delete", "hard_delete")):
-    query(name, f"select drive, count(*) as n, max(seq) as last from ({EVENTS}) where op = '{op}' group by drive")(lambda fx, op=op: fx.sql(EVENTS).where(F.col("op") == op).groupBy("drive").agg(F.count("*").alias("n"), F.max("seq").alias("last")))
-query("op_alias_clashes", f"with l as ({LIFE}) select substr(drive, 3, 1) as alias, count(*) as n from l where state = 'live' group by 1 having count(*) > 1")(lambda fx: planners.alias_clashes(planners.drive_lifecycle(fx.sql(EVENTS)).select(F.substring("drive", 3, 1).alias("alias"), "state")))
 query("op_enable_feature", "select r_regionkey, case when r_regionkey % 2 = 0 then 'inline-data,multi-object-versions' else 'multi-object-versions' end as features from region")(
     lambda fx: planners.enable_feature(fx.region.select("r_regionkey", F.expr("if(r_regionkey % 2 = 0, array('inline-data'), cast(array() as array<string>))").alias("features")), "multi-object-versions").select("r_regionkey", F.array_join("features", ",").alias("features")))
 query("sx_sse", """select seq, concat('id: ', seq, chr(10), string_agg(concat('data: {"op":"', op, '","key":"', target, '"}'), chr(10) order by idx), chr(10), chr(10)) as event from fx_txns group by seq""")(lambda fx: feed.format_sse(fx.fx_txns.selectExpr("seq", "idx as place", "op", "target as key")))

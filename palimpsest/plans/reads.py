@@ -14,21 +14,15 @@ AT = "2024-01-15 00:00:00"
 
 # sources
 
-query("src_pool")(lambda fx: fx.spark.createDataFrame([(1, "sha256", ["inline-data"])], store.POOL).where(F.size(F.array_except("features", F.array(*map(F.lit, sorted(store.FEATURES))))) == 0))
-query("src_drive", "select drive, fork_of from fx_drives where drive = 'src3'")(lambda fx: fx.fx_drives.where("drive = 'src3'").select("drive", "fork_of"))
 query("src_drives", "select distinct source as drive from documents")(lambda fx: fx.documents.select(F.col("source").alias("drive")).distinct())
 query("src_log", """with g as (select distinct seq from fx_txns where seq > 5 and seq <> 120), n as (select seq, seq - 5 - row_number() over (order by seq) as d from g)
   select t.seq, t.idx, t.target from fx_txns t join n on t.seq = n.seq where d = 0""")(lambda fx: state.contiguous(fx.fx_txns.where("seq <> 120"), 5).select("seq", "idx", "target"))
-query("src_checkpoint", "select parent, name, oid, kind from fx_entries")(lambda fx: fx.fx_entries.select("parent", "name", "oid", "kind"))
 query("src_latest_checkpoint", "select drive, max(seq) as seq from (select source as drive, doc_id // 100 as seq from documents) group by drive")(
     lambda fx: store.latest_checkpoint(fx.documents.select(F.col("source").alias("drive"), F.expr("doc_id div 100").alias("seq"))))
 query("src_rows", "select (select count(*) from fx_entries where parent <> 'root' and parent not in (select oid from fx_entries where kind = 'folder')) as orphans, (select count(*) from (select 1 from fx_entries group by parent, name having count(*) > 1)) as clashes")(
     lambda fx: tree.orphans(fx.fx_entries).agg(F.count("*").alias("orphans")).crossJoin(tree.clashes(fx.fx_entries).agg(F.count("*").alias("clashes"))))
 query("src_shard", "select hash, sha256(bytes) = hash as good from fx_shards")(lambda fx: store.verify(fx.fx_shards))
-query("src_page", "select hash, count(*) as copies from fx_shards group by hash having count(*) > 1")(lambda fx: fx.fx_shards.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"))
 query("src_extents", "select oid, pos, coalesce(s, 'zeros') as s, coalesce(n, z) as n from fx_extents")(lambda fx: fx.fx_extents.select("oid", "pos", F.coalesce("s", F.lit("zeros")).alias("s"), content.length().alias("n")))
-query("src_walk", "select split_part(key, '/', 1) as host, count(*) as n from fx_keys group by 1 having count(*) > 1")(lambda fx: fx.fx_keys.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("host")).agg(F.count("*").alias("n")).where("n > 1"))
-
 # point reads and predicates
 
 query("q_lookup", R + "select oid, kind, depth from keyed where key = (select min(key) from keyed where kind = 'file')")(
@@ -37,7 +31,6 @@ query("q_key_of", R + "select oid, key, depth from keyed")(lambda fx: fx.keys.se
 query("q_child_named", "select oid, kind from fx_entries where parent = 'root' and name = 'ASIA' order by case kind when 'file' then 0 else 1 end limit 1")(lambda fx: tree.child_named(fx.fx_entries, "root", "ASIA").select("oid", "kind"))
 query("q_children", "select oid, name || case kind when 'folder' then '/' else '' end as segment from fx_entries where parent = 'n-3'")(lambda fx: tree.children(fx.fx_entries, "n-3").select("oid", "segment"))
 query("q_has_children", "select distinct parent as oid from fx_entries")(lambda fx: tree.has_children(fx.fx_entries))
-query("q_record", "select oid, kind, size, etag from fx_objects where oid in ('o-1', 'c-5', 'n-3')")(lambda fx: fx.fx_objects.where(F.col("oid").isin("o-1", "c-5", "n-3")).select("oid", "kind", "size", "etag"))
 query("q_kind", "select kind, count(*) as n from fx_entries group by kind")(lambda fx: fx.fx_entries.groupBy("kind").agg(F.count("*").alias("n")))
 query("q_location", "select oid, parent, name from fx_entries where oid = 'c-7'")(lambda fx: fx.fx_entries.where("oid = 'c-7'").select("oid", "parent", "name"))
 query("q_is_ancestor", "with recursive up as (select parent as oid, 1 as distance from fx_entries where oid = 'o-7' union all select e.parent, u.distance + 1 from up u join fx_entries e on e.oid = u.oid) select * from up")(
@@ -67,8 +60,6 @@ query("q_validate_name", """select item_id, k, case when k = 0 then 'empty' when
 query("q_validate_key", "select page_id, case when page_id % 4 = 0 then 'empty segment' when page_id % 4 = 1 then 'dot' when page_id % 4 = 2 then 'ok' else 'empty segment' end as verdict from pages")(
     lambda fx: fx.pages.select("page_id", http.key_error(F.expr("case page_id % 4 when 0 then 'a//b' when 1 then 'a/./b/' when 2 then 'a/b/' else '/' end")).alias("verdict")))
 query("q_follows_content", "select seq, oid from fx_history where op not in ('attrs', 'delete')")(lambda fx: fx.fx_history.where("op not in ('attrs', 'delete')").select("seq", "oid"))
-query("q_attrs", "select oid, max(seq) as seq from fx_history where op = 'attrs' group by oid")(lambda fx: fx.fx_history.where("op = 'attrs'").groupBy("oid").agg(F.max("seq").alias("seq")))
-
 # listings
 
 FLAT = "kind <> 'folder' or oid not in (select parent from fx_entries)"
@@ -85,7 +76,6 @@ query("ls_versions", "select concat('users/', oid) as key, seq, idx, op, size, r
 query("ls_versions_page", "select oid as key, seq, idx from fx_history where oid > 'u-5' or (oid = 'u-5' and seq < 500)")(lambda fx: listing.after_version(fx.fx_history.withColumnRenamed("oid", "key"), "u-5", 500, 0).select("key", "seq", "idx"))
 query("ls_history", "select oid, seq, n, n = last_n as is_latest from (select *, max(n) over (partition by oid) as last_n from (select oid, seq, row_number() over (partition by oid order by seq, idx) - 1 as n from fx_history) where n >= 2 and n < 12)")(
     lambda fx: listing.history(fx.fx_history, 2, 10).select("oid", "seq", F.col("n").cast("long").alias("n"), "is_latest"))
-query("ls_folder", "select e.oid, e.name, o.size, o.etag from fx_entries e join fx_objects o using (oid) where e.parent = 'c-10'")(lambda fx: tree.children(fx.fx_entries, "c-10").join(fx.fx_objects.select("oid", "size", "etag"), "oid").select("oid", "name", "size", "etag"))
 query("ls_deleted", "select key, oid, seq from fx_removed where key > 'users/u-2' order by key, oid limit 20")(lambda fx: listing.deleted(fx.fx_removed, "users/", "users/u-2", 20).select("key", "oid", "seq"))
 query("ls_folder_history", "select oid, time, seq, op from fx_history")(lambda fx: fx.fx_history.orderBy("time", "oid").select("oid", "time", "seq", "op"))
 query("ls_parts", "select upload, part, size from fx_parts")(lambda fx: fx.fx_parts.orderBy("upload", "part").select("upload", F.col("part").cast("long").alias("part"), "size"))
@@ -126,8 +116,6 @@ OVERLAY = "(select * from fx_local union all select r.* from fx_remote r where n
 query("j_overlay_anti", f"select parent, name, ino from {OVERLAY} where ino is not null")(lambda fx: journal.merged_names(fx.fx_local, fx.fx_remote))
 query("j_unsaved_children", f"select parent, name, ino, sync from {OVERLAY} join fx_inodes using (ino) where sync <> 'saved'")(lambda fx: journal.unsaved(fx.fx_local, fx.fx_remote, fx.fx_inodes))
 query("j_staged", "select ino, sync, name from fx_local join fx_inodes using (ino)")(lambda fx: fx.fx_local.where("ino is not null").join(fx.fx_inodes, "ino").select("ino", "sync", "name"))
-query("j_json_each", "select event_id, event_type from events where event_id in (1, 5, 9)")(
-    lambda fx: fx.events.join(fx.spark.range(1).select(F.explode(F.from_json(F.lit("[1, 5, 9]"), "array<bigint>")).alias("event_id")), "event_id", "left_semi").select("event_id", "event_type"))
 query("j_plan_held", "select w.hash, case when s.size is null then 'missing' when s.size <> w.n then 'length' else 'held' end as verdict from (select hash, n + first_doc % 2 as n from (select hash, max(n) as n, min(doc_id) as first_doc from fx_shards group by hash)) w left join (select hash, size from fx_stored where first_doc % 3 <> 0) s using (hash)")(
     lambda fx: planners.upload_plan(fx.fx_stored.select("hash", F.expr("size + first_doc % 2").alias("n")), fx.fx_stored.where("first_doc % 3 <> 0").select("hash", "size")))
 query("j_multipart", """with a as (select upload, part from fx_parts union all select distinct upload, 99 from fx_parts where upload % 3 = 0), m as (select upload, max(part) as last from a group by upload)

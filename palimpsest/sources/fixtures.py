@@ -6,11 +6,12 @@ Each view is written once; {sha}, {len} and the like stand for what the two dial
 from __future__ import annotations
 
 import re
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.session import send_package
+from palimpsest.session import send_package, shared_dir
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark".split()
 
@@ -84,6 +85,10 @@ class Fixtures:
             self._views[name] = self.sql(sql)
         return self._views[name]
 
+    def folder(self) -> str:
+        """A folder of this query's own in the folder that all executors share."""
+        return f"{shared_dir(self.spark)}/query-{uuid.uuid4().hex}"
+
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         """Spark SQL in which names of tables and views stand for themselves."""
         used = {n: getattr(self, n) for n in [*TABLES, *VIEWS] if re.search(rf"\b(from|join)\s+{n}\b", text)} | more
@@ -97,6 +102,17 @@ class Fixtures:
 
         return keys(self.fx_entries)
 
+    @cached_property
+    def state(self) -> DataFrame:
+        """The drive as a state: its entries with what the objects hold."""
+        return self.fx_entries.join(self.fx_objects.select("oid", "size", "etag"), "oid").select("oid", "parent", "name", "kind", "size", "etag")
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        from palimpsest.operators.transactions import keyed
+
+        return keyed(self.state)
+
 
 def oracle(text: str) -> str:
     """DuckDB SQL in front of which the views that it names are defined."""

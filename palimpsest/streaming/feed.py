@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from palimpsest.operators.state import CHANGE, contiguous
+from palimpsest.operators.temporal import whole_batches
+from palimpsest.operators.transactions import merge
+from palimpsest.session import kept
+
 FEED_KEEP, POLL_CHANGES = 10_000, 1000
 
 
@@ -61,25 +66,104 @@ def read_log_stream(spark: SparkSession, path: str, schema: str, per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(per_trigger)).json(path)
 
 
+def _kept_state(spark: SparkSession, folder: str, batch: int) -> str | None:
+    """Where the newest state that a batch before this one left is; states are named by their batch."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    done = [int(x.getPath().getName()) for x in system.listStatus(where) if system.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    for old in sorted(n for n in done if n < batch)[:-2]:
+        system.delete(jvm.org.apache.hadoop.fs.Path(where, str(old)), True)
+    return f"{folder}/{max(n for n in done if n < batch)}" if any(n < batch for n in done) else None
+
+
 def watch(log: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, after: int = 0, available_now: bool = True):
-    """Delivers each commit once and in order of seq within a batch, after a position; a restart resumes from the checkpoint.
+    """Delivers each commit once, in order of seq, after a position; a restart resumes from the checkpoint.
 
-    Repeats that a source sends again are dropped by their number: those in a batch by dropDuplicates, those of earlier
-    batches by the stream's own state, which a watermark on the commits' time bounds.
+    The position decides, not the time of arrival: commits up to the first number missing are delivered, those after it
+    are kept in the checkpoint's folder until it comes, however late; what was delivered and comes again is dropped.
     """
-    rows = log.where(F.col("seq") > after).withWatermark("time", "1 day").dropDuplicatesWithinWatermark(["seq"])
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: deliver(df.orderBy("seq"), n))
+    spark = log.sparkSession
+
+    def step(df: DataFrame, batch: int) -> None:
+        before = _kept_state(spark, f"{checkpoint}/position", batch)
+        reached, waiting = after, df
+        if before is not None:
+            held = spark.read.schema(df.schema).parquet(f"{before}/waiting")
+            reached = spark.read.parquet(f"{before}/reached").first()["seq"]
+            waiting = df.unionByName(held)
+        waiting = kept(waiting.where(F.col("seq") > reached).dropDuplicates(["seq"]))
+        ready = contiguous(waiting, reached)
+        last = ready.agg(F.max("seq").alias("seq")).first()["seq"]
+        if last is not None:
+            deliver(ready.orderBy("seq"), batch)
+        last = reached if last is None else last
+        now = f"{checkpoint}/position/{batch}"
+        waiting.where(F.col("seq") > last).write.mode("overwrite").parquet(f"{now}/waiting")
+        spark.createDataFrame([(last,)], "seq long").coalesce(1).write.mode("overwrite").parquet(f"{now}/reached")
+        spark.createDataFrame([], "x int").write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(now)
+
+    writer = log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
-def fold_stream(changes: DataFrame, members: list[str], checkpoint: str, table: str, available_now: bool = True):
-    """The newest value of each member of each object as a continuous aggregate, kept in a memory table."""
-    order = F.struct("seq", "idx", "chg")
-    state = changes.groupBy("oid").agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), order)).alias(m) for m in members], F.max(F.struct("seq", "idx")).alias("head"))
-    writer = state.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint)
+def _versioned(changes: DataFrame, members: list[str]) -> DataFrame:
+    """Objects with each member beside the change that gave it, so that what comes late still finds its place."""
+    given = lambda value, when: F.when(when, F.struct(*CHANGE, value.alias("value")))
+    rows = changes.select(
+        "oid", F.struct("seq", "idx").alias("head"), given(F.col("time"), F.lit(True)).alias("time"), given(F.col("what"), F.col("what").isin("create", "remove")).alias("linked"),
+        *[given(F.col(m), F.col(m).isNotNull()).alias(m) for m in members])
+    return _latest(rows)
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("oid").agg(*[F.max(c).alias(c) for c in rows.columns if c != "oid"])
+
+
+def fold_stream(changes: DataFrame, members: list[str], checkpoint: str, available_now: bool = True):
+    """Objects kept up to date with a stream of changes, in whatever order they come: each batch is folded and merged.
+
+    changes: seq, idx, chg, time, oid, what and the members, of types that have an order. The objects are a table in the
+    checkpoint's folder, read by folded(); a batch that runs again, or changes that come again, alter nothing, and no
+    row passes through the driver.
+    """
+    spark = changes.sparkSession
+
+    def step(df: DataFrame, batch: int) -> None:
+        before = _kept_state(spark, f"{checkpoint}/objects", batch)
+        objects = _versioned(df, members)
+        objects = objects if before is None else _latest(spark.read.parquet(before).unionByName(objects))
+        objects.write.mode("overwrite").parquet(f"{checkpoint}/objects/{batch}")
+
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def folded(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The objects that fold_stream() has kept up to its last batch: oid, head, time, linked and the members."""
+    rows = spark.read.parquet(_kept_state(spark, f"{checkpoint}/objects", 1 << 62))
+    return rows.select("oid", "head", *[F.col(f"{c}.value").alias(c) for c in rows.columns if c not in ("oid", "head")])
+
+
+def poll(changes: DataFrame, since: int, limit: int = POLL_CHANGES) -> DataFrame:
+    """The changes after `since`, of whole batches while they are at most `limit` together; the first batch however large."""
+    later = changes.where(F.col("seq") > since)
+    sizes = later.groupBy("seq").agg(F.count("*").alias("n")).withColumn("drive", F.lit(""))
+    return later.join(whole_batches(sizes, "drive", limit).select("seq"), "seq", "left_semi")
+
+
+def relist(since: int, floor: int, listing: DataFrame, listed_at: int, held: DataFrame, changes: DataFrame, members: list[str]) -> DataFrame:
+    """A reader's objects brought up to date. held: what it has, as of `since`; floor: the last number the feed no longer has.
+
+    Where the feed still has all after `since`, its changes are merged to what the reader holds. Else that is given up
+    for the listing, which is as of `listed_at`, and the changes after it.
+    """
+    base, start = (held, since) if since >= floor else (listing, listed_at)
+    return merge(base, changes.where(F.col("seq") > start), members)
+
+
 def parse_sse(lines: DataFrame) -> DataFrame:
     """stream, event: id and data of server-sent events from numbered lines (stream, n, line); comments say nothing.
 

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from palimpsest.functions import http
-from palimpsest.operators import log
+from palimpsest.operators import log, state
+from palimpsest.session import shared_dir
 from palimpsest.sources import store
 from palimpsest.streaming import feed
 
@@ -38,7 +40,38 @@ def test_log_files_shards_and_walk(spark, tmp_path):
     (tmp_path / f"shards/{name[:2]}/{'0' * 64}").write_bytes(data)
     with pytest.raises(Exception, match="does not match"):
         store.read_shards(spark, str(tmp_path / "shards")).collect()
-    assert {r["key"].split("/")[-1] for r in store.walk(spark, str(tmp_path / "log")).collect()} == {f"{s:016x}.json" for s in (1, 2, 4)}
+    assert [r["key"] for r in store.walk(spark, str(tmp_path / "log")).collect()] == [f"{s:016x}.json" for s in (1, 2, 4)]
+
+
+def test_listings_see_every_name(spark, tmp_path):
+    """Names that begin with a dot or underscore, empty folders, and links, which are left out."""
+    for name in ("a.txt", ".env", "_notes.md", "b/_idx/y", "b/c.txt", ".cfg/x", "_dir/z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty/inner").mkdir(parents=True)
+    path = f"file://{tmp_path}"
+    files = [".cfg/x", ".env", "_dir/z", "_notes.md", "a.txt", "b/_idx/y", "b/c.txt"]
+    assert [(r["key"], r["length"]) for r in store.walk(spark, path).collect()] == sorted([*((f, len(f)) for f in files), ("empty/inner/", 0)])
+    assert [r["path"] for r in store.list_recursive(spark, path).collect()] == files
+    assert [r["path"] for r in store.list_recursive(spark, path, after="_notes.md").collect()] == files[4:]
+    assert [r["path"] for r in store.list_files(spark, path).collect()] == [".env", "_notes.md", "a.txt"]
+    assert [r["name"] for r in store.list_dirs(spark, path).collect()] == [".cfg", "_dir", "b", "empty"]
+    none = tmp_path / "none"
+    none.mkdir()
+    assert store.walk(spark, str(none)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(Session())
 
 
 def test_checkpoint_and_append(spark, table, tmp_path):
@@ -96,25 +129,37 @@ def test_feed_order(spark, table):
     assert found == [("create", "d/n/", None), ("delete", "d/y/", None), ("delete", "d/x", None), ("restore", "d/", None), ("restore", "d/w", "e/w")]
 
 
-def test_watch_delivers_each_commit_once_and_resumes(spark, tmp_path):
+def test_watch_delivers_each_commit_once_in_order_and_resumes(spark, tmp_path):
+    """What comes late, after a restart or with a time long past, is neither lost nor out of order."""
     source, seen = tmp_path / "feed", []
     source.mkdir()
-    put = lambda name, *seqs: (source / name).write_text("".join(json.dumps({"seq": s, "time": f"2024-01-01T00:00:{s:02d}Z"}) + "\n" for s in seqs))
+    put = lambda name, *seqs: (source / name).write_text("".join(json.dumps({"seq": s, "time": f"2024-01-{s:02d}T00:00:00Z"}) + "\n" for s in seqs))
     deliver = lambda df, n: seen.extend(r["seq"] for r in df.collect())
     run = lambda: feed.watch(feed.read_log_stream(spark, str(source), "seq long, time timestamp"), deliver, str(tmp_path / "cp"), after=1).awaitTermination(120)
-    put("a.json", 1, 2, 3, 3)
+    put("a.json", 1, 2, 3, 3, 9)
+    run()
+    put("b.json", 3, 6, 4, 10)
+    run()
+    assert seen == [2, 3, 4]
+    put("c.json", 8, 7, 5)
     run()
-    put("b.json", 3, 4)
     run()
-    assert sorted(seen) == [2, 3, 4]
+    assert seen == [2, 3, 4, 5, 6, 7, 8, 9, 10]
 
 
-def test_fold_stream(spark, tmp_path):
+def test_fold_stream_of_changes_in_any_order(spark, tmp_path):
+    rng, members = random.Random(8), ["size", "parent"]
+    changes = [{"seq": s, "idx": 0, "chg": 0, "time": s, "oid": f"o{rng.randrange(4)}", "what": rng.choice(["create", "set", "remove"]), "size": rng.choice([None, s]), "parent": rng.choice([None, f"p{s}"])} for s in range(1, 80)]
+    schema = "seq long, idx int, chg int, time long, oid string, what string, size long, parent string"
+    rng.shuffle(changes)
     (tmp_path / "c").mkdir()
-    (tmp_path / "c/1.json").write_text("\n".join(json.dumps(x) for x in [{"seq": 1, "idx": 0, "chg": 0, "oid": "a", "size": 1}, {"seq": 2, "idx": 0, "chg": 0, "oid": "a"}, {"seq": 3, "idx": 0, "chg": 0, "oid": "a", "size": 5}]))
-    changes = spark.readStream.schema("seq long, idx int, chg int, oid string, size long").json(str(tmp_path / "c"))
-    feed.fold_stream(changes, ["size"], str(tmp_path / "cp"), "folded").awaitTermination(120)
-    assert [(r["size"], r["head"]["seq"]) for r in spark.sql("select * from folded").collect()] == [(5, 3)]
+    for i in range(4):
+        (tmp_path / f"c/{i}.json").write_text("\n".join(json.dumps(c) for c in changes[i * 20 : i * 20 + 22]))  # some come twice
+        feed.fold_stream(spark.readStream.schema(schema).json(str(tmp_path / "c")), members, str(tmp_path / "cp")).awaitTermination(120)
+    found = feed.folded(spark, str(tmp_path / "cp"))
+    want = state.fold(spark.createDataFrame([tuple(c.values()) for c in changes], schema), members)
+    columns = ["oid", "size", "parent", "linked", "time", "head"]
+    assert rows(found.select(*columns)) == rows(want.select(*columns))
 
 
 @pytest.mark.parametrize(("header", "size", "want"), [
