@@ -31,6 +31,8 @@ from palimpsest.llm.common import column_bytes, documents, ids_and_texts, settle
 WINDOW, GRAM = 35, 6
 #: Distinct stretches beyond which an anchor's windows are dealt out one by one, and windows that a task remembers.
 HOT, REMEMBERED = 500, 500_000
+#: Windows of a stretch at most.
+LONGEST = 64
 _PLACE = 30
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -76,13 +78,15 @@ class Stretches:
         at = np.flatnonzero(np.arange(len(flat)) + WINDOW <= stops[owner])
         if not len(at):
             return
-        place = (least[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        new = np.append(True, (np.diff(at) != 1) | (np.diff(place) != 0) | (np.diff(owner[at]) != 0))
+        anchor = gram[(least[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)]
+        new = np.append(True, (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (np.diff(owner[at]) != 0))
+        since = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        new |= since % LONGEST == 0  # words over and over have one anchor throughout
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(at)) - 1
         self.text = owner[at[begin]]
         self.first, self.last = at[begin] - self.starts[self.text], at[end] - self.starts[self.text]
-        self.anchor = gram[place[begin]].view(np.int64)
+        self.anchor = anchor[begin].view(np.int64)
         self.hash = _mix(_mix(window[at[begin]], window[at[end]]), (at[end] - at[begin]).astype(np.uint64)).view(np.int64)
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
 

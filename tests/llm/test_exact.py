@@ -551,6 +551,32 @@ def test_long_texts_keep_to_their_bounds():
     assert len(secrets.redact(raw, spans[0])) < 100 and spans[1] == []
 
 
+def test_a_million_equal_words(spark):
+    """One word or one line over and over, beside a long text of many words, through every operator."""
+    rng = random.Random(41)
+    texts = ["no " * 10**6, "so it goes on\n" * 150_000, sentences(rng, 200_000, 10**6), None]
+    df = table(spark, texts).coalesce(2)
+    n = [len(WORD.findall(t or "")) for t in texts]
+    found = by_id(substrings.remove_repeats(df).drop("kept"))
+    assert [(found[i]["n_words"], found[i]["n_removed"]) for i in range(4)] == [(n[0], n[0]), (n[1], n[1]), (n[2], 0), (0, 0)]
+    found = by_id(quality.apply_rules(df))
+    assert [(found[i]["n_repeat_words"], found[i]["longest_repeat"]) for i in range(4)] == [(n[0], n[0] - 1), (n[1], n[1] - 4), (0, 0), (0, 0)]
+    found = by_id(bpe.round_trip(df))
+    assert [found[i]["decoded"] for i in range(4)] == [t or "" for t in texts] and [len(r["ids"]) for r in found.values()] == [r["n_tokens"] for r in found.values()]
+    assert [by_id(tokencounts.count_tokens(df))[i]["n_pretokens"] for i in (0, 3)] == [n[0] + 1, 0]
+    assert [r["fingerprint"] % (1 << 64) for _, r in sorted(by_id(simhash.near_duplicates(df)).items())][:2] == [brute_fingerprint("no no no"), brute_fingerprint("so it goes on\n" * 50)]
+    benchmark = spark.createDataFrame([(1, "no " * 30), (2, "goes on so it " * 8)], "item_id long, text string")
+    judged = by_id(decontamination.judge(df, decontamination.blocks(benchmark)))
+    assert [judged[i]["contaminated"] for i in range(4)] == [True, True, False, False]
+    assert [by_id(secrets.scan_secrets(df, secrets.train()))[i]["n_secrets"] for i in range(4)] == [0] * 4
+    model = langid.train(spark.createDataFrame([("aa", "no so it goes on " * 9)], "lang string, text string"))
+    assert [by_id(langid.identify(df, model))[i]["lang_pred"] for i in (0, 3)] == ["aa", "und"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    net = toxicity.train(table(spark, [f"{'vile' if i % 2 else 'kind'} words {i}" for i in range(40)]), labels)
+    assert len({r["score"] for r in toxicity.score(df, net).collect()}) >= 1
+    assert sharding.assign(df).count() == 4
+
+
 # tables without rows, and rows that repeat
 
 

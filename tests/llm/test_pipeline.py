@@ -50,6 +50,22 @@ def test_stages_one_after_the_other(spark, tmp_path):
     assert whole == {i: r["ids_sha256"] for i, r in found.items()}
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, a column of each stage's inner names; and no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, item_id long, fingerprint long, n_secrets int, __id string"
+    text = "some words that are of no harm at all and of no use"
+    odd = [(None, None), (None, ""), (1, text), (1, text), (2, text), (2, "another text " + "x" * 30_000), (3, 'token = "9f3c2a7b1e4d5068a1b2c3d4e5f6"'), (3, None), (4, " \n\t ")]
+    docs = spark.createDataFrame([(i, t, None, None, None, 0.5, 7, None, 1, "mine") for i, t in odd], schema)
+    for df in (docs.repartition(3), docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == df.columns, name
+            kept = sorted(((r["doc_id"] or -1) for r in out.collect()))
+            want = [] if df.isEmpty() else [1, 2, 3, 3] if name == "simhash" else sorted((i or -1) for i, _ in odd)
+            assert kept == want, name
+
+
 def test_every_query_runs_over_all_documents(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     found = queries.queries()
