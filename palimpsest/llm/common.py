@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.session import send_package, shared_dir
+from palimpsest.session import kept, send_package
 
 #: Bytes of text that one call of a numpy kernel sees. Spark itself bounds the batches by bytes (arrow.maxBytesPerBatch).
 SLICE_BYTES = 2_000_000
@@ -86,9 +86,8 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
     send_package(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = kept(df)
     gc.collect()
     return out
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
 from test_exact import brute_components, brute_fingerprint
 
-from palimpsest.llm import bpe, queries, secrets, toxicity
+from palimpsest.llm import bpe, decontamination, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,6 +75,39 @@ def test_every_query_runs_over_all_documents(spark):
         assert found[name](spark, SF).count() == n, name
 
 
+def test_shards_and_contaminated_documents_by_value(spark):
+    """op10 against a scalar jump hash, op1 against the words of the benchmark that stand in a row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(doc_id) as key").collect()
+
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    want = sorted((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), "key", jump(r["key"] % (1 << 64), 40), jump(r["key"] % (1 << 64), 41)) for r in docs)
+    found = queries.queries()["op10_sharding"](spark, SF).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in found) == want
+    slots = {}
+    for r in found:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+    words = lambda t: decontamination.words_of((t or "").encode())
+    items = [words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def longest(text, item):  # words of the longest part of the item that the text holds
+        grams = {tuple(text[i : i + n]): n for n in range(5, len(item) + 1) for i in range(len(text) - n + 1)} if len(text) < 400 else {}
+        return max((n for i in range(len(item)) for n in range(5, len(item) - i + 1) if tuple(item[i : i + n]) in grams), default=0)
+
+    got = {r["doc_id"]: r for r in queries.queries()["op1_decontamination"](spark, SF).collect()}
+    whole = {r["doc_id"] for r in docs if any(b" " + b" ".join(i) + b" " in b" " + b" ".join(words(r["text"])) + b" " for i in items)}
+    assert whole <= set(got) and all(r["contaminated"] and r["coverage"] >= 0.5 and r["n_items"] >= 1 for r in got.values())
+    for r in [r for r in docs if r["doc_id"] not in got and len(words(r["text"])) < 400][:40]:
+        assert all(2 * longest(words(r["text"]), item) < len(item) for item in items)
+
+
 def test_languages_of_held_out_documents(spark):
     out = queries.queries()["op9_language"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
