@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Callable
 
@@ -110,11 +111,30 @@ def materialize(pieces: DataFrame) -> DataFrame:
 
 
 def etag(extents: DataFrame, tag: bytes = b"inline\x00") -> DataFrame:
-    """A validator of each content from its extents: SHA-256 over a tag and every extent's kind, hash and length, big-endian."""
+    """A validator of each content from its extents: SHA-256 over a tag and every extent's kind, hash and length, big-endian.
+
+    One pass over each object's extents in order, so that they need not fit in a row.
+    """
     eight = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
     one = F.when(F.col("s").isNotNull(), F.concat(F.encode(F.lit("s"), "UTF-8"), F.unhex("s"), eight(F.col("n")))).otherwise(F.concat(F.encode(F.lit("z"), "UTF-8"), eight(F.col("z"))))
-    rows = extents.groupBy("oid").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex(one).alias("x")))).alias("xs"))
-    return rows.select("oid", F.sha2(F.unhex(F.concat(F.lit(tag.hex()), F.array_join(F.transform("xs", lambda x: x["x"]), ""))), 256).alias("etag"))
+    rows = extents.select("oid", F.col("pos").cast("long").alias("pos"), one.alias("x"))
+    ends = rows.select("oid").distinct().select("oid", F.lit((1 << 63) - 1).alias("pos"), F.lit(None).cast("binary").alias("x"))
+
+    def begin() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        digest = hashlib.sha256(tag)
+
+        def step(found: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for x in found["x"]:
+                if x is None:
+                    out.append(digest.hexdigest())
+                else:
+                    digest.update(x)
+            return pd.DataFrame({"oid": [found["oid"].iloc[0]] * len(out), "etag": out})
+
+        return step
+
+    return pass_over(rows.unionByName(ends), "oid", ["pos"], extents.select("oid", F.lit("").alias("etag")).schema, begin)
 
 
 def cut_fixed(text: Column, size: int) -> Column:

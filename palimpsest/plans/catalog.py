@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import drives, folds, more, reads, registry  # noqa: F401  importing a module registers its queries
+from palimpsest.plans import drives, folds, more, reads, registry, scalars  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import checksums, chunking
+from palimpsest.functions import chunking
 from palimpsest.operators import log, order, planners, state, transactions, tree
 from palimpsest.plans.folds import FOLDED, MEMBERS, folded
 from palimpsest.plans.reads import R
@@ -237,5 +237,3 @@ query("ct_manifest", """with recursive e as (select oid % 5 as o, oid as doc, po
   union all select e.o, e.rn, case when w.n >= 1024 or (w.tail % 512 = 0 and w.n >= 256) then w.leaf + 1 else w.leaf end, case when w.n >= 1024 or (w.tail % 512 = 0 and w.n >= 256) then 1 else w.n + 1 end, e.tail from w join e on e.o = w.o and e.rn = w.rn + 1)
   select e.o as oid, e.rn as pos, w.leaf from w join e using (o, rn)""")(
     lambda fx: log.leaves(order.running(fx.fx_extents.select((F.col("oid") % 5).alias("o"), "oid", "pos", "s"), ["o"], ["oid", "pos"], {"rn": F.lit(1)}).select(F.col("o").alias("oid"), F.col("rn").alias("pos"), "s")))
-query("ct_crc_pieces")(lambda fx: fx.benchmark.select("item_id", checksums.crc32c_pieces(text_bytes("text")).alias("sums")))
-query("ct_fastcdc")(lambda fx: chunking.shards(fx.documents.select("doc_id", text_bytes("text").alias("bytes")), "doc_id", "bytes", 256, 1024, 4096))

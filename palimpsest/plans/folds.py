@@ -135,7 +135,6 @@ query("ct_overlay_extents", """with x as (select doc_id as key, ord, off as star
   select key, min(edge) as start, max(nxt) as stop, max(ord) as ord from (select *, sum(new) over (partition by key order by edge) as run from (select *, case when lag(nxt) over (partition by key order by edge) = edge and lag(ord) over (partition by key order by edge) = ord then 0 else 1 end as new from s)) group by key, run""")(
     lambda fx: content.overlay_extents(fx.fx_edits.selectExpr("doc_id as key", "ord", "off as start", "off + len as stop")))
 query("ct_checksums", "select item_id, sha1(text) as sha1, sha256(text) as sha256 from benchmark")(lambda fx: fx.benchmark.select("item_id", F.sha1(text_bytes("text")).alias("sha1"), F.sha2("text", 256).alias("sha256")))
-query("ct_checksums_udf")(lambda fx: fx.benchmark.select("item_id", *[c.alias(n) for n, c in checksums.checksums(text_bytes("text")).items()]))
 
 # sets and graphs
 
@@ -203,4 +202,3 @@ query("fn_xml", "select page_id, sha256(replace(replace(replace(replace(replace(
 query("fn_human", "select oid, case when size >= 1048576 then printf('%.1f MiB', size / 1048576.0) when size >= 1024 then printf('%.1f KiB', size / 1024.0) else size || ' B' end as size from fx_objects")(lambda fx: fx.fx_objects.select("oid", http.human_bytes(F.col("size")).alias("size")))
 query("fn_time", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as rfc3339, date_trunc('second', ts) as floored from events")(lambda fx: fx.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("rfc3339"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("floored")))
 query("fn_json", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")(lambda fx: fx.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
-query("fn_nfc")(lambda fx: fx.benchmark.select("item_id", checksums.nfc("text").alias("text")))
