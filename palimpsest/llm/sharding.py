@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from palimpsest.llm.common import documents, ids_and_texts, settled
+from palimpsest.llm.common import documents, ids_and_texts, settled, unused
+from palimpsest.operators.order import running
 
 SHARDS = 40
-#: Parts of a shard that are numbered on their own; a part's first slot comes from the counts of the parts before it.
-PARTS = 1024
 #: Bytes a row takes beside its text.
 ROW_BYTES = 16
 #: Fixed values of the published algorithm: the multiplier of its generator, and 2 to the 31st.
@@ -45,18 +44,15 @@ def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id") -> DataF
     return df.withColumns({"shard": _jump(key, F.lit(shards)), "grown_shard": _jump(key, F.lit(shards + 1))})
 
 
-def number(df: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard.
+def number(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds slot, gapless from 0 in each shard, in the order given.
 
-    One shuffle of the rows given, by shard and part. The counts of the parts have at most shards x parts rows, which
-    bounds what is broadcast.
+    Shards are summed up by ranges of their rows, so neither a large shard nor one id or row over and over is one task:
+    rows that are equal in the order are told apart by where they are kept.
     """
-    df = settled(df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")))
-    counts = df.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*order))
-    return df.join(F.broadcast(first), ["shard", "_part"]).withColumn("slot", F.col("_first") + place - 1).drop("_part", "_first")
+    [tie, place] = unused(df, "tie", "place")
+    rows = settled(df).withColumn(tie, F.monotonically_increasing_id())
+    return running(rows, ["shard"], [*order, tie], {place: F.lit(1)}).withColumn("slot", F.col(place) - 1).drop(tie, place)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,7 +395,7 @@ def test_jump_hash_moves_rows_only_into_the_new_shard():
 
 def test_slots_are_gapless(spark):
     df = table(spark, ["t"] * 500 + EDGE, ids=[i % 90 if i % 7 else None for i in range(500 + len(EDGE))])
-    rows = sharding.number(sharding.assign(df.select("doc_id", F.crc32("text").alias("c"))), ["doc_id", "c"], parts=16).collect()
+    rows = sharding.number(sharding.assign(df.select("doc_id", F.crc32("text").alias("c"))), ["doc_id", "c"]).collect()
     slots = {}
     for r in rows:
         slots.setdefault(r["shard"], []).append(r["slot"])
@@ -403,6 +403,16 @@ def test_slots_are_gapless(spark):
     assert len({(r["doc_id"], r["shard"]) for r in rows}) == len({r["doc_id"] for r in rows})
 
 
+def test_one_row_over_and_over_is_numbered_in_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = sharding.assign(spark.range(0, 20_000, 1, 4).select(F.lit(7).cast("long").alias("doc_id")))
+    out = sharding.number(rows, ["doc_id"])
+    found = out.withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["task"] for r in found}) > 1
+    assert sorted(r["slot"] for r in found) == list(range(20_000)) and out.columns == ["doc_id", "shard", "grown_shard", "slot"]
+
+
 # 3, 8, 9: learned operators
 
 
