@@ -2,6 +2,11 @@
 
 Toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark passages go, secrets
 are marked out, and what is left is encoded and decoded. A document whose text the secret scan changes stays.
+
+Rows with a null text stay null until the last stage, which encodes them as empty; for near-duplicates a null text is an
+empty one. Rows with a null id count like any other, and stand for their group only if no row of it has an id. Repeated
+rows are copies of each other, so one stays. An empty table passes all stages and stays empty. Columns that documents has
+beyond those used are carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.llm import bpe, decontamination, secrets, simhash, toxicity
 from palimpsest.llm.common import documents
+from palimpsest.operators.log import delete_prefix
 from palimpsest.session import shared_dir
 
 
@@ -53,8 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """Applies the stages to documents; each stage's rows are written to the shared folder and read again.
+
+    What a stage wrote is deleted once the next one has written; the last is what the result is read from.
+    """
+    docs, before = documents(spark, sf_dir), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -62,4 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{folder}/{number}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                delete_prefix(spark, before)
+            before = path
     return docs
