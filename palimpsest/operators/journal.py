@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.operators.order import running
 from palimpsest.session import kept
 
 #: A chain of bases of more than 2 to this many entries is taken for a cycle.
@@ -34,22 +35,23 @@ def depends(entries: DataFrame) -> DataFrame:
 
     Entries that touch one name wait for each other in order, so each is linked to the one of that name before it. What
     is in a folder is linked to the last entry that touches the folder before it, and to the next after it. So links are
-    as many as entries times the depth of their keys, however often a name or folder occurs.
+    as many as entries times the depth of their keys, however often a name or folder occurs. Entries are counted by
+    ranges and meet by their number, so a name or folder that very many touch is not one task.
     """
     rows = entries.select("id", "drive", "key", F.regexp_replace("key", "/$", "").alias("plain"))
-    previous = F.lag("id").over(Window.partitionBy("drive", "plain").orderBy("id"))
-    same = rows.select(previous.alias("earlier"), F.col("id").alias("later")).where("earlier is not null")
+    placed = running(rows.select("id", "drive", "plain"), ["drive", "plain"], ["id"], {"place": F.lit(1)})
+    next_ = placed.select("drive", "plain", (F.col("place") - 1).alias("place"), F.col("id").alias("later"))
+    same = placed.join(next_, ["drive", "plain", "place"]).select(F.col("id").alias("earlier"), "later")
     parts = F.split("plain", "/")
     folder = lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "/"), F.lit("/"))
-    above = rows.where(F.size(parts) > 1).select("id", "drive", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), folder)).alias("folder"), F.lit(False).alias("whole"))
-    folders = rows.where(F.col("key").endswith("/")).select("id", "drive", F.col("key").alias("folder"), F.lit(True).alias("whole"))
+    above = rows.where(F.size(parts) > 1).select("id", "drive", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), folder)).alias("folder"), F.lit(0).alias("whole"))
+    folders = rows.where(F.col("key").endswith("/")).select("id", "drive", F.col("key").alias("folder"), F.lit(1).alias("whole"))
     both = above.join(folders.select("drive", "folder").distinct(), ["drive", "folder"], "left_semi").unionByName(folders)
-    w, whole = Window.partitionBy("drive", "folder").orderBy("id"), F.when(F.col("whole"), F.col("id"))
-    last = F.last(whole, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.first(whole, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    inside = both.withColumns({"last": last, "following": following}).where("not whole")
-    before = inside.select(F.col("last").alias("earlier"), F.col("id").alias("later")).where("earlier is not null")
-    after = inside.select(F.col("id").alias("earlier"), F.col("following").alias("later")).where("later is not null")
+    counted = running(both, ["drive", "folder"], ["id"], {"number": F.col("whole")})  # how many touch the folder by then
+    wholes = kept(counted.where("whole = 1").select("drive", "folder", "number", F.col("id").alias("whole_id")))
+    inside = counted.where("whole = 0").select("drive", "folder", "number", "id")
+    before = inside.join(wholes, ["drive", "folder", "number"]).select(F.col("whole_id").alias("earlier"), F.col("id").alias("later"))
+    after = inside.withColumn("number", F.col("number") + 1).join(wholes, ["drive", "folder", "number"]).select(F.col("id").alias("earlier"), F.col("whole_id").alias("later"))
     return same.unionByName(before).unionByName(after).distinct()
 
 

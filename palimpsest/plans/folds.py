@@ -197,7 +197,7 @@ query("sx_parse_sse", "select event_id as stream, cast(event_id as varchar) as i
 # functions
 
 query("fn_keys", "select page_id, split_part(key, '/', 1) as first, key like '%/' as folder from fx_keys")(lambda fx: fx.fx_keys.select("page_id", F.split_part("key", F.lit("/"), F.lit(1)).alias("first"), F.col("key").endswith("/").alias("folder")))
-query("fn_percent", "select page_id, url as decoded from pages")(lambda fx: fx.pages.select("page_id", http.percent_decoded(F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20"))).alias("decoded")))
+query("fn_percent", "select page_id, url || '+x' as decoded from pages")(lambda fx: fx.pages.select("page_id", http.percent_decoded(F.concat(F.replace("url", F.lit("/"), F.lit("%2F")), F.lit("+x"))).alias("decoded")))
 query("fn_xml", "select page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as digest from pages")(lambda fx: fx.pages.select("page_id", F.sha2(http.xml_escaped(F.col("html")), 256).alias("digest")))
 query("fn_human", "select oid, case when size >= 1048576 then printf('%.1f MiB', size / 1048576.0) when size >= 1024 then printf('%.1f KiB', size / 1024.0) else size || ' B' end as size from fx_objects")(lambda fx: fx.fx_objects.select("oid", http.human_bytes(F.col("size")).alias("size")))
 query("fn_time", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as rfc3339, date_trunc('second', ts) as floored from events")(lambda fx: fx.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("rfc3339"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("floored")))

@@ -57,8 +57,8 @@ query("q_headers", "select oid, case kind when 'folder' then '0755' else '0644'
 query("q_validate_name", """select item_id, k, case when k = 0 then 'empty' when k = 1 then 'bad character' when k = 2 then 'dot' when k = 3 and strlen(text) > 255 then 'too long' else case when k = 3 and contains(text, '/') then 'bad character' else 'ok' end end as verdict
   from (select item_id, text, item_id % 5 as k from benchmark)""")(
     lambda fx: fx.benchmark.select("item_id", F.expr("item_id % 5").alias("k"), "text").select("item_id", "k", http.name_error(F.expr("case k when 0 then '' when 1 then 'a/b' when 2 then '..' when 3 then text else 'fine' end")).alias("verdict")))
-query("q_validate_key", "select page_id, case when page_id % 4 = 0 then 'empty segment' when page_id % 4 = 1 then 'dot' when page_id % 4 = 2 then 'ok' else 'empty segment' end as verdict from pages")(
-    lambda fx: fx.pages.select("page_id", http.key_error(F.expr("case page_id % 4 when 0 then 'a//b' when 1 then 'a/./b/' when 2 then 'a/b/' else '/' end")).alias("verdict")))
+query("q_validate_key", "select page_id, case page_id % 4 when 0 then case when contains(key, '/') then 'empty segment' else 'ok' end when 1 then 'dot' when 2 then 'ok' else case when strlen(key) * 60 + 60 > 1024 then 'key too long' else 'ok' end end as verdict from fx_keys")(
+    lambda fx: fx.fx_keys.select("page_id", http.key_error(F.expr("case page_id % 4 when 0 then replace(key, '/', '//') when 1 then concat('./', key) when 2 then key else repeat(concat(key, '/'), 60) end")).alias("verdict")))
 query("q_follows_content", "select seq, oid from fx_history where op not in ('attrs', 'delete')")(lambda fx: fx.fx_history.where("op not in ('attrs', 'delete')").select("seq", "oid"))
 # listings
 
