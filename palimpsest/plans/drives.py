@@ -226,7 +226,19 @@ def _streamed(fx):
     return shown(feed.folded(fx.spark, f"{path}/checkpoint"))
 
 
+def _watched(fx):
+    """Commits in files of no order, watched from commit 40 on; what is delivered is kept with the batch it came in."""
+    path = fx.folder()
+    commits = state.pack_log(fx.fx_txns, ["target", "op"]).select("seq", F.size("txns").alias("txns"))
+    commits.repartition(6).write.parquet(f"{path}/log")
+    stream = fx.spark.readStream.schema(commits.schema).option("maxFilesPerTrigger", "2").parquet(f"{path}/log")
+    deliver = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+    feed.watch(stream, deliver, f"{path}/checkpoint", after=40).awaitTermination()
+    return fx.spark.read.parquet(f"{path}/out").select("seq", F.col("txns").cast("long").alias("txns"))
+
+
 query("sx_fold_stream", UP_TO_DATE)(_streamed)
+query("sx_watch", "select seq, count(*) as txns from fx_txns where seq > 40 group by seq")(_watched)
 
 # content
 

@@ -28,6 +28,5 @@ query("op_direct_commit", "select doc_id as upload, case when bool_or(first_doc
 query("op_enable_feature", "select r_regionkey, case when r_regionkey % 2 = 0 then 'inline-data,multi-object-versions' else 'multi-object-versions' end as features from region")(
     lambda fx: planners.enable_feature(fx.region.select("r_regionkey", F.expr("if(r_regionkey % 2 = 0, array('inline-data'), cast(array() as array<string>))").alias("features")), "multi-object-versions").select("r_regionkey", F.array_join("features", ",").alias("features")))
 query("sx_sse", """select seq, concat('id: ', seq, chr(10), string_agg(concat('data: {"op":"', op, '","key":"', target, '"}'), chr(10) order by idx), chr(10), chr(10)) as event from fx_txns group by seq""")(lambda fx: feed.format_sse(fx.fx_txns.selectExpr("seq", "idx as place", "op", "target as key")))
-query("sx_watch", "select distinct seq from fx_txns where seq > 40")(lambda fx: feed.not_delivered(fx.fx_txns, 40).select("seq"))
 query("ct_edit_sizes", "select doc_id, cast(sum(len) as bigint) as written from fx_edits group by doc_id")(lambda fx: fx.fx_edits.groupBy("doc_id").agg(F.sum("len").alias("written")))
 query("ct_extent_kinds", "select oid, count(s) as shards, count(z) as zeros, cast(coalesce(sum(z), 0) as bigint) as zero_bytes from fx_extents group by oid")(lambda fx: content.bounds(fx.fx_extents).groupBy("oid").agg(F.count("s").alias("shards"), F.count("z").alias("zeros"), F.coalesce(F.sum("z"), F.lit(0)).alias("zero_bytes")))

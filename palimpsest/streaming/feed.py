@@ -182,8 +182,3 @@ def format_sse(changes: DataFrame) -> DataFrame:
     line = F.concat(F.lit("data: "), F.to_json(F.struct("op", "key")))
     rows = changes.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("xs"))
     return rows.select("seq", F.concat(F.lit("id: "), F.col("seq").cast("string"), F.lit("\n"), F.array_join(F.transform("xs", lambda x: x["line"]), "\n"), F.lit("\n\n")).alias("event"))
-
-
-def not_delivered(feed: DataFrame, last: int) -> DataFrame:
-    """What a client that resumes after `last` still has to deliver, repeats dropped by number."""
-    return feed.where(F.col("seq") > last).dropDuplicates(["seq"])
