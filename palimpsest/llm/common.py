@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.session import kept, send_package
 
-#: Bytes of text that one call of a numpy kernel sees. Spark itself bounds the batches by bytes (arrow.maxBytesPerBatch).
+#: Bytes of text, each row's 1,000 bytes more, that are taken out of Arrow at a time; a longer text is alone. Spark bounds
+#: the batches themselves by bytes (arrow.maxBytesPerBatch).
+PIECE_BYTES = 4_000_000
+#: Bytes of text that one call of a numpy kernel sees.
 SLICE_BYTES = 2_000_000
 
 
@@ -26,6 +31,18 @@ def column_bytes(batch: pa.RecordBatch, name: str | int) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterable[pa.RecordBatch], name: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most about PIECE_BYTES of the column named; empty batches give none."""
+    for batch in batches:
+        column = batch.column(name if isinstance(name, int) else batch.schema.names.index(name))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1000)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of about `limit` bytes; a longer text is alone in its range."""
     start = size = 0
@@ -69,9 +86,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, kernel: Callable[[], Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = kernel()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, at):
             found = compute(column_bytes(batch, at))
             columns = batch.columns[: len(names)]
             if replace is not None:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm.common import annotate, column_bytes, documents, schema_of, slices
+from palimpsest.llm.common import annotate, column_bytes, documents, pieces, schema_of, slices
 
 #: Distinct training texts of each language at most, about, drawn by a hash of the text; more are not needed for n-gram rates.
 TRAIN_ROWS = 1000
@@ -78,7 +78,12 @@ class LanguageFilter:
 
     @classmethod
     def of_texts(cls, texts: dict[str, list[str]]) -> LanguageFilter:
-        return cls({k: np.unique(_grams(v)[0], return_counts=True) for k, v in texts.items()}, {k: len(v) for k, v in texts.items()})
+        counts = {}
+        for language, own in texts.items():
+            parts = [np.unique(_grams(own[a : a + 100])[0], return_counts=True) for a in range(0, len(own), 100)]  # few texts at a time
+            grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            counts[language] = (grams, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))
+        return cls(counts, {k: len(v) for k, v in texts.items()})
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
         """The mask of all languages that contain each n-gram, one row for each 64 languages."""
@@ -122,7 +127,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     drawn = df.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, langs = column_bytes(batch, "text"), batch.column("lang").to_pylist()
             for a, b in slices(texts):
                 for lang in sorted(set(langs[a:b])):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from palimpsest.llm.common import column_bytes, documents, ids_and_texts, settled, slices
+from palimpsest.llm.common import column_bytes, documents, ids_and_texts, pieces, settled, slices
 
 WINDOW, GRAM = 35, 6
 #: Distinct stretches beyond which an anchor's windows are dealt out one by one, and windows that a task remembers.
@@ -201,7 +201,7 @@ def _anchored(rows: DataFrame) -> DataFrame:
     """row, place, anchor and hash of every stretch; row is a number for each row that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = column_bytes(batch, "text")
             for a, b in slices(texts):
                 found = Stretches(texts[a:b])
@@ -239,7 +239,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of the distinct stretches wanted, from the text of each one's owner."""
     seen: dict[tuple[int, int], int] = {}
-    for batch in batches:
+    for batch in pieces(batches):
         texts, lists = column_bytes(batch, "text"), batch.column(batch.schema.names.index("wanted")).to_pylist()
         for a, b in slices(texts):
             stretches = Stretches(texts[a:b])
@@ -325,13 +325,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owned = distinct.groupBy(F.col("owner.row").alias("row")).agg(F.sort_array(F.collect_list(F.struct(F.col("owner.place").alias("place"), "anchor", "hash", "copies", "hot"))).alias("wanted"))
     wanted = owned.join(names, "row").select("k1", "k2", "wanted")
     dealt = rows.repartition("k1", "k2")  # used twice in one plan, shuffled once
-    pieces = _arrow(_cut_out, dealt.join(wanted, ["k1", "k2"]), PIECE).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    judged = _arrow(_judge, pieces, JUDGED)
+    parts = _arrow(_cut_out, dealt.join(wanted, ["k1", "k2"]), PIECE).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    judged = _arrow(_judge, parts, JUDGED)
     hits = found.join(judged, ["anchor", "hash"]).select("row", F.struct("place", "spans").alias("hit"))
     told = hits.join(names, "row").groupBy("k1", "k2").agg(F.collect_set("hit").alias("hits"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, lists = column_bytes(batch, "text"), batch.column(batch.schema.names.index("hits")).to_pylist()
             ids = batch.column(batch.schema.names.index("doc_id"))
             for a, b in slices(texts):

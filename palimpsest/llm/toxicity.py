@@ -104,7 +104,9 @@ class Network:
 
     def told(self, texts: list[bytes]) -> list[str]:
         """The language each text seems to be in."""
-        return self.languages.predict([t.decode() for t in texts])[0] if self.languages else [""] * len(texts)
+        if self.languages is None:
+            return [""] * len(texts)
+        return [x for a, b in slices(texts, 1_000_000) for x in self.languages.predict([t.decode() for t in texts[a:b]])[0]]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         cuts = np.array([self.cuts.get(x, self.cut) for x in self.told(texts)])
