@@ -104,10 +104,10 @@ def segments(rows: DataFrame, table: str, key: str) -> DataFrame:
     return found.where((F.col("place") > F.col("low")) & (F.col("place") <= F.col("high"))).select(table, key, "segment")
 
 
-def leaves(extents: DataFrame, oid: str = "oid") -> DataFrame:
-    """Manifest leaves: extents of each object, cut after a hash with LEAF_BITS low zeros or at LEAF_MAX. Adds leaf."""
-    rows = extents.select(oid, "pos", F.coalesce(F.conv(F.substring("s", -4, 4), 16, 10).cast("int"), F.lit(1)).alias("tail"))
-    schema = rows.select(oid, "pos", F.lit(0).cast("int").alias("leaf")).schema
+def leaves(extents: DataFrame, oid: str = "oid", *carried: str) -> DataFrame:
+    """Manifest leaves: extents of each object, cut after a hash with LEAF_BITS low zeros or at LEAF_MAX. oid, pos, leaf and what is carried."""
+    rows = extents.select(oid, "pos", *carried, F.coalesce(F.conv(F.substring("s", -4, 4), 16, 10).cast("int"), F.lit(1)).alias("tail"))
+    schema = rows.select(oid, "pos", *carried, F.lit(0).cast("int").alias("leaf")).schema
 
     def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
         leaf, n = 0, 0
@@ -120,13 +120,40 @@ def leaves(extents: DataFrame, oid: str = "oid") -> DataFrame:
                 n += 1
                 if n >= LEAF_MAX or (tail % (1 << LEAF_BITS) == 0 and n >= LEAF_MIN):
                     leaf, n = leaf + 1, 0
-            return found[[oid, "pos"]].assign(leaf=pd.Series(out, index=found.index, dtype="int32"))
+            return found[[oid, "pos", *carried]].assign(leaf=pd.Series(out, index=found.index, dtype="int32"))
 
         return cut
 
     return pass_over(rows, oid, ["pos"], schema, start)
 
 
+def manifests(extents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Roots (oid, root, size) and pages (hash, bytes as text) of the manifest trees of objects with over LEAF_MAX extents.
+
+    extents: oid, pos, s, n, z. A page holds up to LEAF_MAX extents or pages, cut by what they are, so an edit makes anew
+    one leaf and the pages above it. Each level is one pass; a tree of n extents has log(n) levels, as pages hold 256 at
+    least. Objects with fewer extents hold them themselves and have no tree.
+    """
+    size = F.coalesce("n", "z", F.lit(0))
+    item = F.when(F.col("s").isNotNull(), F.to_json(F.struct("s", "n"))).otherwise(F.to_json(F.struct("z")))
+    large = extents.groupBy("oid").agg(F.count("*").alias("count")).where(F.col("count") > LEAF_MAX).select("oid")
+    level = extents.join(large, "oid", "left_semi").select("oid", F.col("pos").cast("long").alias("pos"), "s", item.alias("item"), size.alias("size"))
+    front, roots, pages = '{"kind":"leaf","extents":[', None, None
+    while True:
+        cut = leaves(level, "oid", "item", "size").groupBy("oid", "leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("items"), F.sum("size").alias("size"))
+        body = F.concat(F.lit(front), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
+        made = kept(cut.select("oid", F.col("leaf").cast("long").alias("pos"), body.alias("bytes"), "size").withColumn("hash", F.sha2("bytes", 256)))
+        single = made.groupBy("oid").agg(F.count("*").alias("count")).where("count = 1").select("oid")
+        done = made.join(single, "oid", "left_semi").select("oid", F.col("hash").alias("root"), "size")
+        roots = done if roots is None else roots.unionByName(done)
+        pages = made.select("hash", "bytes") if pages is None else pages.unionByName(made.select("hash", "bytes"))
+        child = F.to_json(F.struct(F.col("hash").alias("page"), "size"))
+        level = kept(made.join(single, "oid", "left_anti").select("oid", "pos", F.col("hash").alias("s"), child.alias("item"), "size"))
+        if level.isEmpty():
+            return roots, pages.dropDuplicates(["hash"])
+        front = '{"kind":"node","children":['
+
+
 def cadence(commits: DataFrame, key: str, every: int = CHECKPOINT_COMMITS, nbytes: int = CHECKPOINT_BYTES) -> DataFrame:
     """Where a checkpoint is due: each time so many commits or so many bytes have come since the one before."""
     rows = running(commits.select(key, "seq", "bytes"), [key], ["seq"], {"n": F.lit(1), "total": F.col("bytes")})

@@ -244,8 +244,11 @@ query("sx_watch", "select seq, count(*) as txns from fx_txns where seq > 40 grou
 
 query("ct_params", "select l_orderkey, l_linenumber, coalesce(a % 2 = 0 and b % 2 = 0 and c % 2 = 0 and a between 64 and 1048576 and b between 256 and 4194304 and c between 1024 and 16777216 and a <= b and b <= c, false) as good from (select l_orderkey, l_linenumber, l_partkey * 7 as a, l_suppkey * 311 as b, cast(l_extendedprice * 10 as bigint) as c from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice) as l_extendedprice from lineitem))")(
     lambda fx: fx.lineitem.select("l_orderkey", "l_linenumber", chunking.sizes_fit(F.col("l_partkey") * 7, F.col("l_suppkey") * 311, F.floor("l_extendedprice") * 10).alias("good")))
-query("ct_manifest", """with recursive e as (select oid % 5 as o, oid as doc, pos, row_number() over (partition by oid % 5 order by oid, pos) as rn, coalesce(cast('0x' || substr(s, 61, 4) as integer), 1) as tail from fx_extents),
+#: Extents of five objects, those of every fifth document one after the other, and DuckDB's cut of them into leaves.
+FIVE = """e as (select oid % 5 as o, row_number() over (partition by oid % 5 order by oid, pos) as rn, coalesce(cast('0x' || substr(s, 61, 4) as integer), 1) as tail, s, n, z from fx_extents),
   w as (select o, rn, cast(0 as integer) as leaf, 1 as n, tail from e where rn = 1
-  union all select e.o, e.rn, case when w.n >= 1024 or (w.tail % 512 = 0 and w.n >= 256) then w.leaf + 1 else w.leaf end, case when w.n >= 1024 or (w.tail % 512 = 0 and w.n >= 256) then 1 else w.n + 1 end, e.tail from w join e on e.o = w.o and e.rn = w.rn + 1)
-  select e.o as oid, e.rn as pos, w.leaf from w join e using (o, rn)""")(
-    lambda fx: log.leaves(order.running(fx.fx_extents.select((F.col("oid") % 5).alias("o"), "oid", "pos", "s"), ["o"], ["oid", "pos"], {"rn": F.lit(1)}).select(F.col("o").alias("oid"), F.col("rn").alias("pos"), "s")))
+  union all select e.o, e.rn, case when w.n >= 1024 or (w.tail % 512 = 0 and w.n >= 256) then w.leaf + 1 else w.leaf end, case when w.n >= 1024 or (w.tail % 512 = 0 and w.n >= 256) then 1 else w.n + 1 end, e.tail from w join e on e.o = w.o and e.rn = w.rn + 1)"""
+five = lambda fx: order.running(fx.fx_extents.select((F.col("oid") % 5).alias("o"), "oid", "pos", "s", "n", "z"), ["o"], ["oid", "pos"], {"rn": F.lit(1)}).select(F.col("o").alias("oid"), F.col("rn").alias("pos"), "s", "n", "z")
+query("ct_manifest", f"with recursive {FIVE} select e.o as oid, e.rn as pos, w.leaf from w join e using (o, rn)")(lambda fx: log.leaves(five(fx)))
+query("ct_manifest_tree", f"""with recursive {FIVE}, p as (select o, leaf, cast(sum(coalesce(e.n, e.z)) as bigint) as size, sha256('{{"kind":"leaf","extents":[' || string_agg(case when s is not null then '{{"s":"' || s || '","n":' || e.n || '}}' else '{{"z":' || e.z || '}}' end, ',' order by rn) || ']}}') as hash from w join e using (o, rn) group by 1, 2)
+  select o as oid, cast(sum(size) as bigint) as size, sha256('{{"kind":"node","children":[' || string_agg('{{"page":"' || hash || '","size":' || size || '}}', ',' order by leaf) || ']}}') as root from p where o in (select o from e group by o having count(*) > 1024) group by o""")(lambda fx: log.manifests(five(fx))[0].select("oid", "size", "root"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -7,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from palimpsest.functions import checksums, chunking, patch
-from palimpsest.operators import content, gc, temporal
+from palimpsest.operators import content, gc, log, temporal
 
 
 def test_edits_are_those_of_a_buffer(spark, table):
@@ -72,6 +74,29 @@ def test_overlays_of_many_extents_are_those_of_a_buffer(spark, table):
     assert sorted((r["key"], r["start"], r["stop"], r["ord"]) for r in found) == want
 
 
+def test_manifest_trees_hold_every_extent(spark, table):
+    """Three levels; flattened again by their pages, whose names are their hashes; a small object has no tree."""
+    rng = random.Random(7)
+    extents = [("big", i, hashlib.sha256(b"%d" % i).hexdigest(), 9, None) if i % 50 else ("big", i, None, None, 4) for i in range(2700)] + [("small", i, "ab", 1, None) for i in range(1024)]
+    rng.shuffle(extents)
+    least, most, bits = log.LEAF_MIN, log.LEAF_MAX, log.LEAF_BITS
+    log.LEAF_MIN, log.LEAF_MAX, log.LEAF_BITS = 4, 16, 3
+    try:
+        roots, pages = log.manifests(table([e for e in extents if e[0] == "big"] + [e for e in extents if e[0] == "small"][:16], "oid string, pos int, s string, n long, z long"))
+    finally:
+        log.LEAF_MIN, log.LEAF_MAX, log.LEAF_BITS = least, most, bits
+    [root] = roots.collect()
+    held = {r["hash"]: r["bytes"] for r in pages.collect()}
+    assert root["oid"] == "big" and all(hashlib.sha256(b.encode()).hexdigest() == h for h, b in held.items())
+
+    def flat(page):
+        found = json.loads(held[page])
+        return found["extents"] if found["kind"] == "leaf" else [x for c in found["children"] for x in flat(c["page"])]
+
+    want = [{"s": s, "n": n} if s else {"z": z} for _, _, s, n, z in sorted(e for e in extents if e[0] == "big")]
+    assert flat(root["root"]) == want and root["size"] == sum(x.get("n") or x["z"] for x in want)
+
+
 def test_chunk_sizes(spark, table):
     cases = {(262_144, 2_097_152, 16_777_216): True, (64, 256, 1024): True, (63, 256, 1024): False, (512, 256, 1024): False, (64, 256, 32 << 20): False, (64, 255, 1024): False, (64, 256, None): False}
     df = table([(*k,) for k in cases], "a long, b long, c long")
