@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import checksums, chunking, http, patch
+from palimpsest.functions import chunking, http, patch
 from palimpsest.operators import content, gc, journal, latency, log, planners, state, temporal, tree
-from palimpsest.plans.reads import OVERLAY, R, _live_refs
+from palimpsest.plans.reads import R, _live_refs
 from palimpsest.plans.registry import query
 from palimpsest.streaming import feed
 

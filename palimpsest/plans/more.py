@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import patch
-from palimpsest.operators import content, log, planners, state
+from palimpsest.operators import content, planners, state
 from palimpsest.plans.reads import R
 from palimpsest.plans.registry import query
-from palimpsest.sources import store
 from palimpsest.streaming import feed
 
 text_bytes = lambda c: F.encode(c, "UTF-8")
-name_of = lambda: F.substring_index("path", "/", -1).alias("name")
 
 query("src_client_storage", "select e.oid, e.parent, o.size from fx_entries e join fx_objects o using (oid) where e.kind = 'file'")(lambda fx: fx.fx_entries.where("kind = 'file'").join(fx.fx_objects.select("oid", "size"), "oid").select("oid", "parent", "size"))
 query("st_with_spilled", "select oid, case when oid like 'o-%' and substr(oid, 3)::bigint % 2 = 0 then 'shard' when oid like 'o-%' then 'inline' else 'none' end as content from fx_objects")(

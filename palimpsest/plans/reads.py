@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import http
-from palimpsest.operators import content, gc, journal, listing, log, planners, state, temporal, tree
+from palimpsest.operators import content, gc, journal, listing, planners, state, temporal, tree
 from palimpsest.plans.registry import KEYED, query
 from palimpsest.sources import store
 
