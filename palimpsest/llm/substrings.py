@@ -4,7 +4,8 @@ Windows are dealt to reference shards by an anchor, the least hashed GRAM-word g
 meet in one shard. Neighbouring windows with one anchor travel together as a stretch of words. Of each distinct stretch
 one copy goes to its shard with the number of its copies. A shard's suffix automaton counts where each substring ends;
 the stretches are streamed through it for matching statistics, the longest suffix at each place that occurs elsewhere,
-and the maximal spans of at least WINDOW words are removed.
+and the maximal spans of at least WINDOW words are removed. An anchor with one stretch in all makes a shard too where it
+is met more than once inside, as in a word over and over.
 
 The shards are dealt out by their anchors, not broadcast: a window can repeat anywhere, so the whole corpus is the
 reference, and sending every shard past every document would cost the square of the corpus. An anchor of more than HOT
@@ -31,7 +32,7 @@ from palimpsest.llm.common import column_bytes, documents, ids_and_texts, pieces
 WINDOW, GRAM = 35, 6
 #: Distinct stretches beyond which an anchor's windows are dealt out one by one, and windows that a task remembers.
 HOT, REMEMBERED = 500, 500_000
-#: Windows of a stretch at most.
+#: Windows of a stretch at most; its first, one WINDOW further and its last have to cover all of its words.
 LONGEST = 64
 _PLACE = 30
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -51,7 +52,8 @@ def _pairs(h: np.ndarray, gap: int) -> np.ndarray:
 
 
 class Stretches:
-    """The stretches of some texts: text, first and last window, anchor, and a hash of the words from first to last."""
+    """The stretches of some texts: text, first and last window, anchor, a hash of the words from first to last, and
+    whether the anchor is met at more than one place inside, without which no window can be there twice."""
 
     def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
@@ -60,7 +62,7 @@ class Stretches:
         stops = np.cumsum(n)
         self.starts = stops - n
         empty = np.empty(0, np.int64)
-        self.text, self.first, self.last, self.anchor, self.hash = empty, empty, empty, empty, empty
+        self.text, self.first, self.last, self.anchor, self.hash, self.moved = empty, empty, empty, empty, empty, empty.astype(bool)
         if len(flat) < WINDOW:
             return
         two = _pairs(flat, 1)
@@ -78,7 +80,8 @@ class Stretches:
         at = np.flatnonzero(np.arange(len(flat)) + WINDOW <= stops[owner])
         if not len(at):
             return
-        anchor = gram[(least[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)]
+        met = (least[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        anchor = gram[met]
         new = np.append(True, (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (np.diff(owner[at]) != 0))
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         new |= since % LONGEST == 0  # words over and over have one anchor throughout
@@ -87,7 +90,10 @@ class Stretches:
         self.text = owner[at[begin]]
         self.first, self.last = at[begin] - self.starts[self.text], at[end] - self.starts[self.text]
         self.anchor = anchor[begin].view(np.int64)
-        self.hash = _mix(_mix(window[at[begin]], window[at[end]]), (at[end] - at[begin]).astype(np.uint64)).view(np.int64)
+        self.moved = met[begin] != met[end]
+        ends = _mix(window[at[begin]], window[at[end]])
+        inside = _mix(ends, window[np.minimum(at[begin] + WINDOW, at[end])])  # windows further apart leave words between them
+        self.hash = _mix(inside, (at[end] - at[begin]).astype(np.uint64)).view(np.int64)
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def of(self, text: int) -> slice:
@@ -198,7 +204,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _anchored(rows: DataFrame) -> DataFrame:
-    """row, place, anchor and hash of every stretch; row is a number for each row that has any."""
+    """The anchor and hash of every stretch, and whether its anchor is met twice inside; row is a number for each row that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -209,19 +215,19 @@ def _anchored(rows: DataFrame) -> DataFrame:
                     full = np.flatnonzero(np.diff(found.bounds))
                     bounds = np.append(found.bounds[full], found.bounds[-1])
                     key = batch.slice(a, b - a).take(pa.array(full))
-                    yield pa.RecordBatch.from_arrays([key.column(key.schema.names.index("k1")), key.column(key.schema.names.index("k2")), _lists(found.anchor, bounds), _lists(found.hash, bounds)], names=["k1", "k2", "anchors", "hashes"])
+                    yield pa.RecordBatch.from_arrays([key.column(key.schema.names.index("k1")), key.column(key.schema.names.index("k2")), _lists(found.anchor, bounds), _lists(found.hash, bounds), _lists(found.moved, bounds)], names=["k1", "k2", "anchors", "hashes", "moved"])
 
     # numbered only after it is kept, so a row's number never changes
-    kept = settled(_arrow(run, rows.select("text", "k1", "k2"), "k1 long, k2 long, anchors array<long>, hashes array<long>"))
+    kept = settled(_arrow(run, rows.select("text", "k1", "k2"), "k1 long, k2 long, anchors array<long>, hashes array<long>, moved array<boolean>"))
     return kept.withColumn("row", F.monotonically_increasing_id())
 
 
 def _candidates(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stretches whose anchor occurs more than once, and the distinct ones among them with copies and an owner."""
-    every = numbered.select("row", F.posexplode(F.arrays_zip("anchors", "hashes"))).select("row", F.col("pos").alias("place"), F.col("col.anchors").alias("anchor"), F.col("col.hashes").alias("hash"))
+    """Stretches whose anchor occurs more than once, in others or in themselves, and the distinct ones among them with copies and an owner."""
+    every = numbered.select("row", F.posexplode(F.arrays_zip("anchors", "hashes", "moved"))).select("row", F.col("pos").alias("place"), F.col("col.anchors").alias("anchor"), F.col("col.hashes").alias("hash"), F.col("col.moved").alias("moved"))
     # kept on its own, so that both sides of the join are plain shuffles and Spark can split a hot anchor's rows
-    again = settled(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    found = settled(every.join(again, "anchor"))
+    again = settled(every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("moved").alias("moved")).where("n > 1 or moved").select("anchor"))
+    found = settled(every.drop("moved").join(again, "anchor"))
     distinct = settled(found.groupBy("anchor", "hash").agg(F.count("*").alias("copies"), F.min(F.struct("row", "place")).alias("owner")))
     return found, distinct
 

@@ -261,6 +261,32 @@ def test_repeated_windows_go(spark, hot, monkeypatch):
         assert (found[i]["n_words"], found[i]["n_removed"], found[i]["kept"]) == want
 
 
+def test_windows_that_repeat_in_one_stretch_only(spark):
+    """Words over and over whose anchor no other stretch has: all windows there are may be in one."""
+    rng = random.Random(8)
+    texts = [f"{sentences(rng, 40, 9999)} {' '.join([word] * n)} {sentences(rng, 40, 9999)}" for word, n in (("ho", 36), ("hum", 38), ("hey", 60), ("hoo", 130), ("one", 35))]
+    texts += ["la li " * 19, " ".join(f"v{i % 20}" for i in range(60))]
+    found = by_id(substrings.remove_repeats(table(spark, texts)))
+    want = brute_removed(texts)
+    assert [n for _, n, _ in want] == [36, 38, 60, 130, 0, 38, 60]
+    for i, row in enumerate(want):
+        assert (found[i]["n_words"], found[i]["n_removed"], found[i]["kept"]) == row
+
+
+def test_a_stretch_is_all_of_its_words():
+    """One anchor every 25 words makes a stretch of so many windows that the first and the last leave words between them."""
+    rng = random.Random(9)
+    n = 0
+    for _ in range(2000):
+        gram = [f"w{rng.randrange(10**6)}" for _ in range(6)]
+        words = [w for block in "abcde" for w in [*gram, *(f"{block}{i}" for i in range(19))]]
+        one, two = (substrings.Stretches([" ".join(text).encode()]) for text in (words, [*words[:45], "other", *words[46:]]))
+        if one.first[0] == 0 and one.last[0] == two.last[0] == 63 and one.anchor[0] == two.anchor[0]:
+            n += 1
+            assert one.hash[0] != two.hash[0]
+    assert n
+
+
 def test_automaton_spans():
     rng = random.Random(5)
     for _ in range(800):
