@@ -38,7 +38,10 @@ def speedup(samples: DataFrame) -> DataFrame:
 
 
 def geometric_mean(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("scenario").agg(F.round(F.exp(F.avg(F.ln("latency"))), 6).alias("geomean"))
+    """exp(mean(ln x)) of each scenario: 0 where a latency is 0, NaN where one is negative; Spark's ln would leave both out."""
+    x = F.col("latency").cast("double")
+    ln = F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+    return samples.groupBy("scenario").agg(F.round(F.exp(F.avg(ln)), 6).alias("geomean"))
 
 
 def histogram(samples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from palimpsest.operators.order import number_all, pass_over, quantiles, running
-from palimpsest.operators import journal, planners, temporal
+from palimpsest.operators import journal, latency, planners, temporal
 
 
 def test_numbers_of_a_whole_table(spark, table):
@@ -20,6 +20,14 @@ def test_numbers_of_a_whole_table(spark, table):
     assert number_all(table([], "a int"), ["a"]).count() == 0
 
 
+def test_geometric_means_of_zeros_and_negatives(spark, table):
+    samples = [("plain", 2.0), ("plain", 8.0), ("plain", None), ("zero", 0.0), ("zero", 5.0), ("minus", -0.0), ("below", -1.0), ("below", 3.0), ("both", 0.0), ("both", -2.0), ("none", None), ("nan", float("nan")), ("far", float("inf"))]
+    df = table(samples, "scenario string, latency double")
+    found = dict(rows(latency.geometric_mean(df)))
+    assert found.pop("none") is None and all(np.isnan(found.pop(k)) for k in ("below", "both", "nan"))
+    assert found == {"plain": 4.0, "zero": 0.0, "minus": 0.0, "far": float("inf")}
+
+
 def test_a_pass_sees_each_key_once_in_order(spark, table):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     df = table([(k, n) for k in range(5) for n in range(30 * k + 1)], "k int, n int").repartition(9)
