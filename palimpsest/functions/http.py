@@ -89,11 +89,16 @@ def percent_decoded(text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes as B, or with one decimal as KiB to TiB."""
+    """Bytes as B, or with one decimal as KiB to TiB; a half of a tenth goes to the even one, as printf has it, and not up."""
     steps = [("TiB", 40), ("GiB", 30), ("MiB", 20), ("KiB", 10)]
     out = F.when(F.lit(False), "")
+    exact = n.cast("double").cast("long")
     for unit, bits in steps:
-        out = out.when(n >= (1 << bits), F.concat(F.format_string("%.1f", n / float(1 << bits)), F.lit(f" {unit}")))
+        rest = exact.bitwiseAND(F.lit((1 << bits) - 1)) * 10
+        tenth, left, half = F.shiftright(rest, bits), rest.bitwiseAND(F.lit((1 << bits) - 1)), 1 << (bits - 1)
+        tenth = tenth + ((left > half) | ((left == half) & (tenth % 2 == 1))).cast("long")
+        whole = F.shiftright(exact, bits) + F.when(tenth == 10, 1).otherwise(0)
+        out = out.when(n >= (1 << bits), F.concat(whole.cast("string"), F.lit("."), (tenth % 10).cast("string"), F.lit(f" {unit}")))
     return out.otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 

@@ -178,3 +178,16 @@ def test_names_and_keys(spark, table):
     keys = {"": "ok", "/": "empty segment", "/a": "empty segment", "a//b": "empty segment", "a/b/": "ok", "a/../b": "dot", "x" * 1025: "key too long"}
     got = table([(k,) for k in keys], "k string").select("k", http.key_error(F.col("k")).alias("e")).collect()
     assert {r["k"]: r["e"] for r in got} == keys
+
+
+def test_human_bytes_round_halves_of_a_tenth_to_even(spark, table):
+    rng = random.Random(4)
+    sizes = [0, 1, 1023, 1024, 1048575, 1048576, (1 << 30) - 1, 1 << 40, (1 << 63) - 1]
+    sizes += [(4 * rng.randrange(1, 1000) + k << bits) // 4 for bits in (10, 20, 30, 40) for k in range(4) for _ in range(9)] + [rng.randrange(1 << rng.randrange(1, 63)) for _ in range(300)]
+
+    def want(n: int) -> str:
+        bits = next((b for b in (40, 30, 20, 10) if n >= 1 << b), 0)
+        return f"{n / (1 << bits):.1f} {dict(zip((10, 20, 30, 40), ('KiB', 'MiB', 'GiB', 'TiB'), strict=True))[bits]}" if bits else f"{n} B"
+
+    found = table([(n,) for n in sizes], "n long").select("n", http.human_bytes(F.col("n")).alias("size")).collect()
+    assert {r["n"]: r["size"] for r in found} == {n: want(n) for n in sizes}
